@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webspark.io import table
-from webspark.llm import copies, encode, mixing, sentences, site_lines
+from webspark.llm import copies, encode, mixing, near, sentences, site_lines
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +35,14 @@ def p4_pages(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse(both, ["tbl", "job_id"], copies.canonical_url(F.col("url"))).select("tbl", "job_id", "first_id", "n_copies")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return near.pairs_found(table(spark, d, "crawl_results", "id", "markdown"), "id", "markdown", words=3, threshold=0.6, least=40)
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return near.classes(table(spark, d, "crawl_results", "id", "markdown"), "id", "markdown", words=3, threshold=0.6, least=40)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "ids")
 
@@ -68,7 +76,7 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_texts(docs)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_pages, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_pages, p5_found, p5_classes, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_sentences)}
 
 _INVISIBLE_RE2 = (
     r"[\s\p{Z}\p{Cc}\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}"
