@@ -26,10 +26,10 @@ PARTS = 128
 FIRST_BAND, BAND_RATIO, PER_PART = 96, 4, 3
 #: Bits of the dense sketch.
 DENSE_BITS = 1024
-#: A key on more distinct texts than this joins none of them in the first round.
+#: A key on more distinct texts than this is left to the second round.
 COMMON = 16
-#: Texts with less than this share of uncommon keys are joined by all their keys in the second round.
-FEW_UNCOMMON = 0.35
+#: Texts of a common key that one task compares with as many others; larger groups are split.
+BLOCK = 4096
 #: Agreeing keys that a pair needs.
 AGREE = 2
 
@@ -251,9 +251,9 @@ def _combined(held: list[pa.RecordBatch], most: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(own[keep])], ["key", "k1"])
 
 
-def _pairs(most: int | None) -> Callable:
+def _pairs(most: int) -> Callable:
     """Of one shuffle partition: pairs of texts on the same uncommon key, (a, b, 1), a < b, and for
-    each text on an uncommon key (a, a, 1), added up."""
+    each common key one row (key, null, 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -263,21 +263,13 @@ def _pairs(most: int | None) -> Callable:
         del held
         b = _bounds(key)
         n = np.diff(b)
-        ok = n <= most if most else np.ones(len(n), bool)
-        lone = own[np.repeat(ok, n)]
-        values, times = np.unique(lone, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(values), pa.array(times)], ["a", "b", "c"])
-        starts, lengths = b[:-1][ok & (n > 1)], n[ok & (n > 1)]
+        common = key[b[:-1][n > most]]
+        yield pa.RecordBatch.from_arrays([pa.array(common), pa.nulls(len(common), pa.int64()), pa.array(np.zeros(len(common), np.int64))], ["a", "b", "c"])
+        ok = (n > 1) & (n <= most)
+        starts, lengths = b[:-1][ok], n[ok]
         for length in np.unique(lengths):
             at = starts[lengths == length]
-            i, j = np.triu_indices(int(length), 1) if length <= 2048 else (None, None)
-            if i is None:  # a large group goes row by row
-                for s in at:
-                    group = own[s : s + length]
-                    for r in range(int(length) - 1):
-                        rest = group[r + 1 :]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rest), group[r])), pa.array(rest), pa.array(np.ones(len(rest), np.int64))], ["a", "b", "c"])
-                continue
+            i, j = np.triu_indices(int(length), 1)
             step = max(1, 2_000_000 // len(i))
             for s in range(0, len(at), step):
                 rows = at[s : s + step, None]
@@ -287,12 +279,76 @@ def _pairs(most: int | None) -> Callable:
     return run
 
 
-def _agreeing(keys: DataFrame, most: int | None) -> DataFrame:
-    thin = keys.mapInArrow(_thin(most if most else 1 << 62), "key bigint, k1 bigint")
+def _agreeing(keys: DataFrame, most: int) -> DataFrame:
+    thin = keys.mapInArrow(_thin(most), "key bigint, k1 bigint")
     pairs = thin.repartition("key").mapInArrow(_pairs(most), "a bigint, b bigint, c bigint")
     return pairs.groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
+def _close(slack: float, threshold: float) -> Callable:
+    """Of groups (key, lo, hi, block, k1, n, sketch) whole within a partition: the pairs (a, b),
+    a < b, across blocks lo and hi (or within one) that size and dense sketches don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+            cuts = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                now = tuple(cell[:, x].tolist())
+                if group and now != last:
+                    yield from _compared(group, last, slack, threshold)
+                    group = []
+                last = now
+                group.append(batch.slice(x, y - x))
+        if group:
+            yield from _compared(group, last, slack, threshold)
+
+    return run
+
+
+def _compared(group: list[pa.RecordBatch], cell: tuple[int, int, int], slack: float, threshold: float) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(group).combine_chunks()
+    block, own, n = (rows.column(i).to_numpy().astype(np.int64) for i in (3, 4, 5))
+    sketch = rows.column(6).combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(own), -1)
+    left, right = np.flatnonzero(block == cell[1]), np.flatnonzero(block == cell[2])
+    right = right[np.argsort(n[right], kind="stable")]
+    left = left[np.argsort(n[left], kind="stable")]
+    for s in range(0, len(left), 256):
+        x = left[s : s + 256]
+        # sizes too far apart are out; both sides are in order of size
+        y = right[np.searchsorted(n[right], threshold * n[x[0]] - 1e-6) : np.searchsorted(n[right], n[x[-1]] / threshold + 1e-6, side="right")]
+        if not len(y):
+            continue
+        far = np.zeros((len(x), len(y)), np.uint16)
+        for w in range(sketch.shape[1]):
+            far += np.bitwise_count(sketch[x, w][:, None] ^ sketch[y, w][None, :])
+        near = far <= slack * (n[x][:, None] + n[y][None, :])
+        if cell[1] == cell[2]:
+            near &= own[x][:, None] < own[y][None, :]
+        i, j = np.nonzero(near)
+        a, b = own[x[i]], own[y[j]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _on_common(keys: DataFrame, common: DataFrame, texts: DataFrame, slack: float, threshold: float) -> DataFrame:
+    """(a, b): the pairs of texts on the same common key that the dense sketches don't rule out.
+    keys: key, k1; common: key. Groups of more than BLOCK texts are split into blocks, each pair of
+    blocks a group of its own, so that no task holds a whole hot group."""
+    held = materialize(keys.join(common, "key", "left_semi").distinct(), "p5-common")
+    blocks = held.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = held.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "k1"
+    )
+    full = cells.join(texts.groupBy("k1").agg(F.min("n").alias("n"), F.any_value("sketch").alias("sketch")), "k1")
+    grouped = full.select("key", "lo", "hi", "block", "k1", "n", "sketch").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return grouped.mapInArrow(_close(slack, threshold), "a bigint, b bigint").distinct()
+
+
 def _hamming(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("bigint")), F.lit(0).cast("bigint"), lambda s, v: s + v)
 
@@ -314,29 +370,28 @@ def class_links(df: DataFrame, id_col: str, text_col: str, words: int = 5, thres
     a1, a2, b1, b2, similarity - classes whose Jaccard similarity is ``threshold`` or more.
 
     Records with fewer than ``least`` words (or fewer than ``words``), null and empty texts belong
-    to no class. Repeated rows and copies share a class and are compared once. First round: keys on
-    at most COMMON texts; a key's rows are thinned before the shuffle, so a common key costs a
-    bounded number of rows. Second round: texts most of whose keys are common (members of large
-    groups) meet on all their keys, so no link hangs on the bound. A pair exactly at the threshold
-    of 0.6 misses each of its 128 keys in all with a probability below 1e-9.
+    to no class. Repeated rows and copies share a class and are compared once. First round: pairs
+    agreeing in AGREE keys on at most COMMON texts; a key's rows are thinned before the shuffle, so
+    a common key costs a bounded number of rows. Second round: all texts on a common key are set
+    against each other there, in blocks, by their dense sketches, so no link hangs on the bound and
+    one agreeing key is enough. A pair exactly at the threshold of 0.6 misses each of its 128 keys
+    in all with a probability below 1e-9.
     """
     docs = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     least = max(least, words)
     members = materialize(sketch_table(docs, words, least), "p5-sketches")
     texts = members.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch"))
     texts = materialize(texts, "p5-texts")
-    agree = materialize(_agreeing(key_table(docs, words, least, threshold), COMMON).where((F.col("c") >= AGREE) | (F.col("a") == F.col("b"))), "p5-agree")
-    uncommon = agree.where("a = b").select(F.col("a").alias("k1"), "c")
-    keys_of = F.least(F.col("n").cast("double"), F.lit(float(PARTS))) * (1 - F.exp(-F.lit(1.0)))
-    few = texts.join(uncommon, "k1", "left").where(F.coalesce(F.col("c"), F.lit(0)) < FEW_UNCOMMON * keys_of).select("id")
-    few = materialize(few, "p5-few")
-    pairs = agree.where("a < b").select("a", "b")
-    if few.limit(1).count():
-        again = _agreeing(key_table(docs.join(few, "id", "left_semi"), words, least, threshold), None)
-        pairs = pairs.unionByName(again.where((F.col("a") < F.col("b")) & (F.col("c") >= AGREE)).select("a", "b")).distinct()
+    ratio = (1 - threshold) / (1 + threshold) + 1e-9
+    keys = key_table(docs, words, least, threshold)
+    agree = materialize(_agreeing(keys, COMMON).where((F.col("c") >= AGREE) | F.col("b").isNull()), "p5-agree")
+    common = agree.where("b is null").select(F.col("a").alias("key"))
+    pairs = agree.where("b is not null").select("a", "b")
+    if common.limit(1).count():
+        pairs = pairs.unionByName(_on_common(keys, common, texts, ratio, threshold)).distinct()
     a = texts.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("id").alias("ia"))
     b = texts.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("id").alias("ib"))
-    slack = F.lit((1 - threshold) / (1 + threshold) + 1e-9)
+    slack = F.lit(ratio)
     alike = (
         pairs.join(a, "a").join(b, "b")
         .where((F.least("na", "nb") >= F.lit(threshold - 1e-9) * F.greatest("na", "nb")) & (_hamming(F.col("sa"), F.col("sb")) <= slack * (F.col("na") + F.col("nb"))))
@@ -346,11 +401,11 @@ def class_links(df: DataFrame, id_col: str, text_col: str, words: int = 5, thres
     wanted = alike.select(F.col("ia").alias("id")).union(alike.select("ib")).distinct()
     sets = docs.join(wanted, "id", "left_semi").mapInArrow(_over_texts(_set_column(words), words, least), "k1 bigint, k2 bigint, s array<bigint>").dropDuplicates(["k1", "k2"])
     sets = materialize(sets, "p5-sets")
-    common = F.size(F.array_intersect("s", "t"))
+    shared = F.size(F.array_intersect("s", "t"))
     links = (
         alike.join(sets.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), "s"), ["a", "a2"])
         .join(sets.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("s").alias("t")), ["b", "b2"])
-        .withColumn("similarity", common / (F.col("na") + F.col("nb") - common))
+        .withColumn("similarity", shared / (F.col("na") + F.col("nb") - shared))
         .where(F.col("similarity") >= threshold)
         .select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2", "similarity")
     )
