@@ -1,0 +1,31 @@
+from webspark.llm import site_lines
+
+
+def places(spark, pages, jobs):
+    pages = spark.createDataFrame(pages, "id bigint, job_id string, markdown string")
+    jobs = spark.createDataFrame(jobs, "id string, url string")
+    rows = [tuple(r) for r in site_lines.excess_places(pages, jobs).collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def word(i):
+    return "".join(chr(97 + int(c)) for c in str(i))
+
+
+def test_one_site(spark):
+    pages = [(i, "a", f"Menu\nown {word(i)}\nMenu!") for i in range(10)] + [(20, "a", "seldom")] * 7
+    assert places(spark, pages, [("a", "https://A.example:443/")]) == {(i, n) for i in range(10) for n in (1, 3)}
+
+
+def test_line_of_every_site(spark):
+    jobs = [(s, f"https://{s}.example/") for s in "abc"]
+    pages = [(100 * k + i, s, f"text {s} {word(i)}\nAll rights reserved") for k, s in enumerate("abc") for i in range(9)]
+    assert places(spark, pages, jobs) == {(p[0], 2) for p in pages}
+
+
+def test_hot_site_and_small_sites_that_use_the_line_as_often(spark):
+    hot = [(i, "a", "Read on" if i < 20 else f"text {word(i)}") for i in range(2000)]
+    small = [(10000 + i, f"s{word(i)}", "Read on") for i in range(40)]
+    jobs = [("a", "https://a.example/")] + [(p[1], f"https://{p[1]}.example/") for p in small]
+    assert places(spark, hot + small, jobs) == {(i, 1) for i in range(20)}
