@@ -45,3 +45,14 @@ def test_blocks_of_a_common_key(spark, monkeypatch):
     monkeypatch.setattr(near, "BLOCK", 16)
     texts = edited_copies(60, 10, seed=5)
     assert found(spark, texts, words=3, threshold=0.6, least=40) == alike(texts, 3, 0.6, 40)
+
+
+def test_small_sets_are_exact(spark):
+    # 2 sequences against 3 that hold them: similarity 2/3
+    texts = []
+    for i in range(300):
+        a, b = f"x{i}", f"y{i}"
+        texts += [(2 * i, " ".join([a, b] * 25)), (2 * i + 1, " ".join([a, b] * 24 + [a, "end"]))]
+    expected = alike(texts, 3, 0.6, 40)
+    assert len(expected) == 300
+    assert found(spark, texts, words=3, threshold=0.6, least=40) == expected
