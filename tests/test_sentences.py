@@ -1,0 +1,18 @@
+import pytest
+
+from webspark.llm.sentences import sentence_spans
+
+
+def units(text):
+    return [text[a:b] for a, b in sentence_spans(text, "en")]
+
+
+@pytest.mark.parametrize("opener", ["Although", "Two of them said that, because", "Everyone", "During May", "Engineers", "However,"])
+def test_sentence_after_dotted_capitals(opener):
+    first, second = "Few engineers of the two came from the U.S.", f"{opener} the work went on."
+    assert units(f"{first} {second}") == [first, second]
+
+
+@pytest.mark.parametrize("text", ["A bill of the U.S. Senate then passed.", "The state of the U.S. State Department improved."])
+def test_name_after_dotted_capitals_leads_on(text):
+    assert units(text) == [text]

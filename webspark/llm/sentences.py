@@ -181,7 +181,7 @@ def _ends_sentence(text: str, start: int, end: int, after: int, lang: str) -> bo
                 if word[0].isupper():  # an initial, or the last letter of U.S.
                     dotted = _DOTTED.search(text, max(0, start - 12), start)
                     chain = dotted and "." in dotted[0] and " " not in dotted[0]
-                    return bool(chain and lang == "en" and nxt.isupper() and _OPENS.match(text, rest.start(2)))
+                    return bool(chain and lang == "en" and nxt.isupper() and _opens(text, rest.start(2)))
                 if _CASELESS.match(w):
                     return False
                 dotted = _DOTTED.search(text, max(0, start - 12), start)
@@ -195,7 +195,37 @@ def _ends_sentence(text: str, start: int, end: int, after: int, lang: str) -> bo
 #: Dotted abbreviations that always lead on.
 _NEVER = frozenset(["e.g", "i.e", "z.b", "d.h", "u.a", "p.ex", "p.ej", "т.е", "π.χ", "o.ä", "v.a"])
 _LETTER_DOT = regex.compile(r"\p{L}\.")
-_OPENS = regex.compile(r"(?:The|A|An|In|It|We|He|She|They|This|That|When|Why|If|No|But|Each|Most|Around|Visitors|Nobody|What|Its)\b")
+#: English words of closed classes, which no name after a dotted abbreviation begins with.
+_OPENS = frozenset(
+    """a an the this that these those each every either neither both all any some no none many much most more few fewer several
+    another other such enough half
+    i you he she it we they one my your his her its our their mine yours hers ours theirs there here
+    somebody someone something anybody anyone anything nobody nothing everybody everyone everything
+    what who whom whose which when where why how whatever whoever whichever whenever wherever however
+    about above across after against along although amid among and around as at because before behind below beneath beside
+    besides between beyond but by despite down during except for from if in inside into like near nor of off on once onto or
+    out outside over past per since so than though through throughout till to toward towards under underneath unless unlike
+    until up upon via whereas whether while with within without yet
+    am is are was were be been being do does did have has had can could may might must shall should will would
+    not never always often sometimes usually rarely seldom again also even just only still then now soon later earlier today
+    yesterday tomorrow meanwhile moreover therefore thus hence instead nevertheless nonetheless otherwise perhaps maybe
+    finally eventually recently afterwards indeed visitors""".split()
+)
+_CAPITAL_NEXT = regex.compile(r"\s+\p{Lu}")
+_WORD_AT = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
+
+
+def _opens(text: str, at: int) -> bool:
+    """Whether the capitalised word at a position begins a sentence: it is of a closed class, or the
+    text has it in lower case elsewhere, so that it is no name. Else it goes on (U.S. Senate)."""
+    m = _WORD_AT.match(text, at)
+    if not m:
+        return False
+    low = regex.split("['’]", m[0].lower())[0]
+    if low in _OPENS:
+        return True
+    titled = _CAPITAL_NEXT.match(text, m.end())  # State Department
+    return bool(len(low) > 1 and not titled and regex.search(rf"(?<![\p{{L}}\p{{N}}]){low}(?![\p{{L}}\p{{N}}])", text))
 
 
 def _paragraph(text: str, base: int, lang: str, out: list[tuple[int, int]]) -> None:
