@@ -3,7 +3,7 @@
 Every source gets its share of a token budget. A source whose documents must be used r times on
 average gives floor(r) certain whole copies of each; the rest is a Pareto order sample: documents
 are ranked by random odds divided by inclusion odds and the smallest ranks are taken. Inclusion
-probabilities differ between sources and, by ``size_power``, between documents of a source.
+probabilities differ between sources; within one all documents have the same.
 """
 
 from __future__ import annotations
