@@ -78,29 +78,26 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_pages, p5_found, p5_classes, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_sentences)}
 
-_INVISIBLE_RE2 = (
-    r"[\s\p{Z}\p{Cc}\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}"
-    r"\x{2800}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}\x{E0100}-\x{E01EF}]+"
-)
-
-_P4_SQL = rf"""
-WITH rows AS (
+_P4_SQL = r"""
+WITH named AS (
   SELECT 'crawl_queue' AS tbl, id, job_id, url FROM crawl_queue
   UNION ALL SELECT 'crawl_results', id, job_id, url FROM crawl_results
-), clean AS (
-  SELECT tbl, id, job_id, lower(regexp_replace(url, '{_INVISIBLE_RE2}', '', 'g')) AS u FROM rows
-), cut AS (
-  SELECT *, regexp_extract(u, '^([^:/?#]*)://', 1) AS scheme, regexp_replace(u, '^[^:/?#]*://', '') AS rest FROM clean
-), halves AS (
-  SELECT *, regexp_extract(rest, '^[^?]*') AS head, regexp_replace(rest, '^[^?]*[?]?', '') AS query FROM cut
-), parts AS (
-  SELECT *, regexp_extract(head, '^[^/#]*') AS host, regexp_replace(head, '^[^/#]*', '') AS path FROM halves
+), marks AS (
+  -- the visible characters alone, and where scheme and query are set off
+  SELECT tbl, id, job_id, url IS NULL AS unnamed,
+    lower(array_to_string(regexp_extract_all(url, '[^\s\p{Z}\p{Cc}\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{2800}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}\x{E0100}-\x{E01EF}]'), '')) AS u FROM named
+), ends AS (
+  SELECT *, CASE WHEN instr(u, '?') > 0 THEN instr(u, '?') ELSE length(u) + 1 END AS q,
+    CASE WHEN regexp_matches(u, '^[^:/?#]*://') THEN instr(u, '://') ELSE 0 END AS s FROM marks
+), pieces AS (
+  SELECT *, substr(u, 1, greatest(s - 1, 0)) AS scheme, substr(u, q + 1) AS query,
+    CASE WHEN s > 0 THEN substr(u, s + 3, q - s - 3) ELSE substr(u, 1, q - 1) END AS place FROM ends
 ), keys AS (
-  SELECT tbl, id, job_id, u IS NULL AS unnamed, scheme,
-    trim(regexp_replace(host, '[^\p{{L}}\p{{N}}]+', '-', 'g'), '-') AS h,
-    trim(regexp_replace(path, '[^\p{{L}}\p{{N}}]+', '-', 'g'), '-') AS p,
-    list_sort(list_filter(list_transform(string_split(query, '&'), lambda x: trim(regexp_replace(x, '[^\p{{L}}\p{{N}}]+', '-', 'g'), '-')), lambda x: x <> '')) AS q
-  FROM parts
+  SELECT tbl, id, job_id, unnamed, regexp_extract_all(scheme, '[\p{L}\p{N}]+') AS scheme,
+    regexp_extract_all(regexp_extract(place, '^[^/#]*'), '[\p{L}\p{N}]+') AS h,
+    regexp_extract_all(substr(place, length(regexp_extract(place, '^[^/#]*')) + 1), '[\p{L}\p{N}]+') AS p,
+    list_sort(list_filter(list_transform(string_split(query, '&'), lambda x: regexp_extract_all(x, '[\p{L}\p{N}]+')), lambda x: len(x) > 0)) AS q
+  FROM pieces
 )
 """
 
