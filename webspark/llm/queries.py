@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webspark.io import table
-from webspark.llm import copies, encode, mixing, near, sentences, site_lines
+from webspark.llm import copies, encode, mixing, near, residue, sentences, site_lines, spam
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,10 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.remove_excess_lines(table(spark, d, "crawl_results", "id", "job_id", "markdown"), table(spark, d, "crawl_jobs", "id", "url"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "crawl_results", "id", "url", "markdown")).select("id")
+
+
 def _p4_tables(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
     return [(t, table(spark, d, t, "id", "job_id", "url")) for t in ("crawl_queue", "crawl_results")]
 
@@ -43,6 +47,15 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return near.classes(table(spark, d, "crawl_results", "id", "markdown"), "id", "markdown", words=3, threshold=0.6, least=40)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_records(table(spark, d, "crawl_results", "id", "markdown", "status_code")).select("id")
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The table without these records."""
+    return residue.without_residue(table(spark, d, "crawl_results"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "ids")
 
@@ -76,7 +89,7 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_texts(docs)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_pages, p5_found, p5_classes, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p4_found, p4_pages, p5_found, p5_classes, p6_found, p6_clean, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_sentences)}
 
 _P4_SQL = r"""
 WITH named AS (
