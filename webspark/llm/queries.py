@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webspark.io import table
-from webspark.llm import copies, encode, mixing, near, residue, sentences, site_lines, spam
+from webspark.llm import copies, encode, mixing, near, residue, sentences, site_lines, spam, wrappers
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,6 +23,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(table(spark, d, "crawl_results", "id", "url", "markdown")).select("id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return wrappers.outside_lines(table(spark, d, "crawl_results", "id", "url", "markdown"))
+
+
+def p3_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's main body as markdown lines."""
+    return wrappers.main_bodies(table(spark, d, "crawl_results", "id", "url", "markdown")).select("id", "markdown", "n_outside")
+
+
+def p3_wrappers(spark: SparkSession, d: str) -> DataFrame:
+    """The inferred wrapper of each site as an expression."""
+    return wrappers.wrapper_expressions(wrappers.infer(table(spark, d, "crawl_results", "id", "url", "markdown"))[1])
+
+
 def _p4_tables(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
     return [(t, table(spark, d, t, "id", "job_id", "url")) for t in ("crawl_queue", "crawl_results")]
 
@@ -89,7 +103,7 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_texts(docs)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p4_found, p4_pages, p5_found, p5_classes, p6_found, p6_clean, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p3_found, p3_bodies, p3_wrappers, p4_found, p4_pages, p5_found, p5_classes, p6_found, p6_clean, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_sentences)}
 
 _P4_SQL = r"""
 WITH named AS (

@@ -159,13 +159,15 @@ def fit(sample: list[Passages]) -> np.ndarray:
     rate = np.bincount(size, weights=trusted, minlength=SHORT_LINES + 1) / np.maximum(np.bincount(size, minlength=SHORT_LINES + 1), 1)
     rate[0] = 0.0
     chance = np.where(trusted, 1.0, rate[size])
+    # the share of positives is held at twice the trusted one: letting it grow with the guesses
+    # makes small samples drift into furniture
+    prior = min(2 * trusted.mean(), 0.5)
     for _ in range(ROUNDS):
         positive = np.bincount(feature, weights=chance[row], minlength=N_WEIGHTS)
         negative = total - positive
         with np.errstate(divide="ignore", invalid="ignore"):
             odds = np.log((positive + SMOOTH * share) / (positive.sum() + SMOOTH)) - np.log((negative + SMOOTH * share) / (negative.sum() + SMOOTH))
         weights = np.where(seen, np.clip(odds, -CLIP, CLIP), 0.0)
-        prior = min(max(chance.mean(), 1e-6), 0.5)
         weights[-1] = np.log(prior / (1 - prior))
         # a passage's score, as in Passages.scores
         score = np.bincount(row, weights=weights[feature], minlength=base) + weights[-1]
