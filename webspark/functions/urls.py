@@ -27,12 +27,13 @@ NON_HTTP_SCHEMES = ("mailto", "tel", "javascript", "data", "sms", "ftp")
 DEFAULT_PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
-_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*:[/\\]*([^/?#\\]*)"
+#: Scheme, slashes and authority.
+_HEAD = r"^[A-Za-z][A-Za-z0-9+.\-]*:[/\\]*[^/?#\\]*"
 
 
 def clean(url: Column) -> Column:
     """Without control characters and blanks at the ends, tabs and line breaks."""
-    return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    return F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+\z|[\t\n\r]", "")
 
 
 def scheme(url: Column) -> Column:
@@ -41,43 +42,41 @@ def scheme(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Lower-case host without user part and port; empty if there is none."""
-    return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(clean(url), _AUTHORITY, 1), r"^.*@", ""), r":\d*$", ""))
+    return F.lower(F.regexp_extract(clean(url), r"^[A-Za-z][A-Za-z0-9+.\-]*:[/\\]*(?:[^/?#\\]*@)?([^/?#\\:]*)", 1))
 
 
 def port(url: Column) -> Column:
     """The port if it isn't the scheme's own; else empty."""
-    found = F.regexp_extract(F.regexp_extract(clean(url), _AUTHORITY, 1), r":(\d+)$", 1)
-    own = F.when(scheme(url) == "http", "80").when(scheme(url) == "https", "443").otherwise("")
-    return F.when(found == own, "").otherwise(found)
-
-
-def _rest(url: Column) -> Column:
-    return F.regexp_replace(clean(url), _AUTHORITY, "")
+    own = r"(?i)^(?:http:[^:]*:80|https:[^:]*:443)$"
+    head = F.regexp_replace(F.regexp_extract(clean(url), _HEAD, 0), r"[^:]*@", "")
+    return F.regexp_extract(F.regexp_replace(head, own, ""), r"^[^:]*:[^:]*:(\d+)$", 1)
 
 
 def path(url: Column) -> Column:
-    found = F.regexp_extract(_rest(url), r"^[^?#]*", 0)
+    found = F.regexp_extract(clean(url), _HEAD + r"([^?#]*)", 1)
     return F.when(found == "", "/").otherwise(found)
 
 
 def query(url: Column) -> Column:
     """The query with its question mark; empty without one or if nothing follows the mark."""
-    found = F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
-    return F.when(found == "?", "").otherwise(found)
+    return F.regexp_extract(clean(url), r"^[^?#]*(\?[^#]+)", 1)
 
 
 def is_http(url: Column) -> Column:
     """Whether an address has the scheme http or https and a host; false for null."""
-    return F.coalesce(scheme(url).isin("http", "https") & (host(url) != ""), F.lit(False))
+    return F.coalesce(clean(url).rlike(r"(?i)^https?:[/\\]*(?:[^/?#\\]*@)?[^/?#\\:]"), F.lit(False))
 
 
 def origin(url: Column) -> Column:
-    return F.when(is_http(url), F.concat(scheme(url), F.lit("://"), host(url), F.when(port(url) != "", F.concat(F.lit(":"), port(url))).otherwise("")))
+    """Scheme, host and a port that isn't the scheme's own; null for what is no http address."""
+    head = F.lower(F.regexp_extract(clean(url), _HEAD, 0))
+    bare = F.regexp_replace(head, r"^(https?):[/\\]*(?:.*@)?", "$1://")
+    return F.when(is_http(url), F.regexp_replace(bare, r"(?<=^http://[^:]{0,300}):(?:80)?$|(?<=^https://[^:]{0,300}):(?:443)?$", ""))
 
 
 def without_fragment(url: Column) -> Column:
     """Normal form of an absolute http address without its fragment; null for others."""
-    return F.when(is_http(url), F.concat(origin(url), path(url), query(url)))
+    return F.when(is_http(url), F.concat(origin(url), path(url), F.regexp_extract(clean(url), r"^[^?#]*(\?[^#]*)", 1)))
 
 
 def discovery_form(url: Column) -> Column:
@@ -229,7 +228,7 @@ def parse_url(raw: str | None, base: Url | None = None) -> Url | None:
         return None
     body, q, query_ = rest.partition("?")
     body = body.replace("\\", "/")
-    query_ = "?" + _encode(query_, _QUERY_KEEP) if q and query_ else ""
+    query_ = "?" + _encode(query_, _QUERY_KEEP) if q else ""
     if relative and not body.startswith("//"):
         if body.startswith("/"):
             place = body[1:]
@@ -259,7 +258,7 @@ def resolve_text(value: str | None, base: str | None = None) -> str | None:
 
 
 #: An address the standard leaves as it is, but for its fragment.
-_PLAIN = r"^https?://[a-z0-9](?:[a-z0-9.\-]*[a-z0-9])?/(?:[A-Za-z0-9_~!$&()*+,;=:@/%\-]|\.[A-Za-z0-9_])*(?:\?[A-Za-z0-9_~!$&()*+,;=:@/%.\-]+)?(?:#[A-Za-z0-9_\-]+)?$"
+_PLAIN = r"^https?://[a-z0-9](?:[a-z0-9.\-]*[a-z0-9])?/(?:[A-Za-z0-9_~!$&()*+,;=:@/%\-]|\.[A-Za-z0-9_])*(?:\?[A-Za-z0-9_~!$&()*+,;=:@/%.\-]+)?(?:#[A-Za-z0-9_\-]+)?\z"
 
 
 def resolve(value: Column, base: Column) -> Column:
