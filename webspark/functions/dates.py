@@ -57,4 +57,5 @@ def retry_after(value: Column, now: int, most: int = 5000) -> Column:
     """Milliseconds to wait: seconds or an HTTP date, kept within 0 and ``most``; null if neither."""
     seconds = F.when(value.rlike(r"^\s*\d+(\.\d+)?\s*$"), F.trim(value).try_cast("double") * 1000)
     date = F.unix_millis(F.try_to_timestamp(F.regexp_replace(F.trim(value), r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))) - now
-    return F.least(F.greatest(F.coalesce(seconds, date).cast("bigint"), F.lit(0)), F.lit(most))
+    wait = F.coalesce(seconds, date).cast("bigint")
+    return F.when(wait.isNotNull(), F.least(F.greatest(wait, F.lit(0)), F.lit(most)))

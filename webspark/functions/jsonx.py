@@ -60,7 +60,8 @@ def resolution(text: Column) -> Column:
 
 def clamp(value: Column, low: int, high: int, default: int) -> Column:
     """A number cut to whole and kept within bounds; null gives the default."""
-    return F.coalesce(F.least(F.greatest(value.cast("bigint"), F.lit(low)), F.lit(high)), F.lit(default)).cast("bigint")
+    bounded = F.least(F.greatest(value.cast("bigint"), F.lit(low)), F.lit(high))
+    return F.when(value.isNull(), F.lit(default)).otherwise(bounded).cast("bigint")
 
 
 # ---- schemas -----------------------------------------------------------------------------------

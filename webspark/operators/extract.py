@@ -65,7 +65,7 @@ def answer_json(answer: Column) -> Column:
 def extract_structured(pages: DataFrame, model: Model, schema: dict | None = None, instruction: str | None = None, nonce: str = "0", max_chars: int = 48_000, max_repairs: int = 2) -> DataFrame:
     """(id, data, warning, attempts): data taken from each page by the model.
 
-    pages: id, content. The content is cut to the budget; an answer that is no JSON or does not fit
+    pages: id, content. Null and blank content is not asked about. It is cut to the budget; an answer that is no JSON or does not fit
     the schema goes back with its faults, ``max_repairs`` times. Without a schema an answer that is
     no JSON counts as text. A model that raises gives a warning, never an error of the job. One
     narrow map over Arrow batches; nothing is shuffled.
@@ -73,7 +73,8 @@ def extract_structured(pages: DataFrame, model: Model, schema: dict | None = Non
     strict, notes = jsonx.normalize_schema(schema) if schema is not None else (None, [])
     system, task = system_message(strict, nonce), task_message(instruction, strict is not None)
     kind = pages.schema["id"].dataType.simpleString()
-    framed = pages.select("id", user_message(text.budget_content_utf16(F.col("content"), max_chars)["content"], nonce).alias("content"))
+    filled = F.when(F.trim("content") != "", F.col("content"))
+    framed = pages.select("id", user_message(text.budget_content_utf16(filled, max_chars)["content"], nonce).alias("content"))
 
     def one(content: str | None) -> tuple[str | None, str | None, int]:
         if not content:

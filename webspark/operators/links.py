@@ -22,15 +22,18 @@ class LinkRules:
     exclude: list[str] = field(default_factory=list)
 
 
-def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in the given order. Rows whose key is null are all kept.
+def keep_first(df: DataFrame, key: list[str], order: list[str], nulls: bool = False) -> DataFrame:
+    """The first row of each key in the given order; null counts as a key like others, or, with
+    ``nulls``, rows with a null in their key are all kept.
 
-    Order columns must tell the rows apart. The row number's limit of one is pushed below the
-    shuffle, so each task sends one row a key.
+    Order columns must tell the rows apart. The limit of one on the row number is pushed below the
+    shuffle, so each task sends one row a key. Keeping nulls reads the input twice.
     """
-    some = df.where(" and ".join(f"{k} is not null" for k in key))
-    first = some.withColumn("ws_rank", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("ws_rank = 1").drop("ws_rank")
-    return first.unionByName(df.where(" or ".join(f"{k} is null" for k in key)))
+    ranked = F.row_number().over(W.partitionBy(*key).orderBy(*order))
+    if not nulls:
+        return df.withColumn("ws_rank", ranked).where("ws_rank = 1").drop("ws_rank")
+    some = df.where(" and ".join(f"{k} is not null" for k in key)).withColumn("ws_rank", ranked).where("ws_rank = 1").drop("ws_rank")
+    return some.unionByName(df.where(" or ".join(f"{k} is null" for k in key)))
 
 
 def exploded_links(pages: DataFrame, base: str = "url", links: str = "links") -> DataFrame:

@@ -133,7 +133,7 @@ def until_dry(rows: DataFrame, limit: int, key: str = "url", most_pages: int = 5
     and numbered. Rows with a null key are no doubles of anything.
     """
     made = rows.where(F.col("page") <= most_pages).withColumn("ws_key", urls.url_key(F.col(key)))
-    fresh = keep_first(made, ["query", "ws_key"], ["page", "pos"]).drop("ws_key")
+    fresh = keep_first(made, ["query", "ws_key"], ["page", "pos"], nulls=True).drop("ws_key")
     pages = fresh.groupBy("query", "page").agg(F.count(F.lit(1)).alias("added"))
     upto = W.partitionBy("query").orderBy("page")
     read = (
@@ -147,7 +147,7 @@ def until_dry(rows: DataFrame, limit: int, key: str = "url", most_pages: int = 5
 
 def deduped(rows: DataFrame, limit: int, key: str = "url") -> DataFrame:
     """As a meta search collects: all rows of all pages, doubles to the first, numbered, cut."""
-    first = keep_first(rows.withColumn("ws_key", urls.url_key(F.col(key))), ["query", "ws_key"], ["page", "pos"]).drop("ws_key")
+    first = keep_first(rows.withColumn("ws_key", urls.url_key(F.col(key))), ["query", "ws_key"], ["page", "pos"], nulls=True).drop("ws_key")
     ranked = first.withColumn("position", F.row_number().over(W.partitionBy("query").orderBy("page", "pos")).cast("bigint"))
     return ranked.where(F.col("position") <= limit)
 

@@ -36,7 +36,7 @@ def url_key(spark: SparkSession, d: str) -> DataFrame:
 SELECT job_id, min(id) AS id, key FROM k WHERE key IS NOT NULL GROUP BY job_id, key UNION ALL SELECT job_id, id, NULL FROM k WHERE key IS NULL""")
 def dedupe_urls(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "crawl_queue", "id", "job_id", "url").select("job_id", "id", urls.url_key(F.col("url")).alias("key"))
-    return links.keep_first(rows, ["job_id", "key"], ["id"])
+    return links.keep_first(rows, ["job_id", "key"], ["id"], nulls=True)
 
 
 @query("""SELECT job_id, min(id) AS id FROM (SELECT job_id, id, CASE WHEN instr(split_part(url, '#', 1), '?') > 0
