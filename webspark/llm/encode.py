@@ -12,8 +12,11 @@ import base64
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 RANK_FILES = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
 #: Distinct pre-tokens a worker remembers; beyond that it starts anew (memory only, no effect on ids).
 CACHE_ENTRIES = 200_000
+#: Characters whose pre-tokens are held at once, beyond a single text.
+PART_CHARACTERS = 2_000_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k") -> str:
@@ -89,20 +94,25 @@ class Encoder:
         self.table = {b: c for b, c in enumerate(byte_characters())}
         self.cache: dict[str, list[int]] = {}
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of one text; null and empty give an empty list. Strings of special tokens are
-        ordinary text."""
-        if not text:
-            return []
-        words, cache = self.find(text), self.cache
-        new = [w for w in dict.fromkeys(words) if w not in cache]
+    def encode_all(self, texts: list[str | None]) -> list[list[list[int]]]:
+        """For each text the ids of its pre-tokens. All pre-tokens a batch brings anew go to the model
+        in one call."""
+        find, cache = self.find, self.cache
+        words = [find(t) if t else [] for t in texts]
+        new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in cache]
         if new:
             if len(cache) + len(new) > CACHE_ENTRIES:
                 cache.clear()
-                new = list(dict.fromkeys(words))
+                new = list(dict.fromkeys(chain.from_iterable(words)))
             mapped = [w.encode().decode("latin-1").translate(self.table) for w in new]
             cache.update(zip(new, self.model.encode(mapped, num_threads=1)))
-        return [i for w in words for i in cache[w]]
+        get = cache.__getitem__
+        return [list(map(get, ws)) for ws in words]
+
+    def encode(self, text: str | None) -> list[int]:
+        """Ids of one text; null and empty give an empty list. Strings of special tokens are
+        ordinary text."""
+        return list(chain.from_iterable(self.encode_all([text])[0]))
 
     def decode(self, ids: list[int] | None) -> str:
         """The text of ids; inverse of encode for every text."""
@@ -120,20 +130,36 @@ def _settings(vocabulary: str, path: str | None, pattern: str | None) -> tuple[s
     return path or vocabulary_path(vocabulary), pattern or public_tokenizers.PATTERN
 
 
+def _in_parts(encoder: Encoder, texts: list[str | None]) -> Iterator[list[list[int]]]:
+    """The batch's texts, some million characters at a time."""
+    part: list[str | None] = []
+    size = 0
+    for t in texts:
+        part.append(t)
+        size += len(t) if t else 0
+        if size > PART_CHARACTERS:
+            yield from encoder.encode_all(part)
+            part, size = [], 0
+    yield from encoder.encode_all(part)
+
+
 def encode_texts(df: DataFrame, text_col: str = "text", vocabulary: str = "byte_bpe_50k", path: str | None = None, pattern: str | None = None, out: str = "ids") -> DataFrame:
     """``df`` with a column of token ids; null and empty texts give an empty list.
 
-    A narrow map over Arrow batches: no shuffle, one text at a time whatever its length. ``path``
+    A narrow map over Arrow batches: no shuffle, whole texts whatever their length. ``path``
     is the rank file on the workers (default: that of the installed package); an existing column
     of the name ``out`` is replaced.
     """
     where = _settings(vocabulary, path, pattern)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(*where)
         for texts in batches:
-            yield pd.Series([encoder.encode(t) for t in texts], index=texts.index, dtype=object)
+            ids = [list(chain.from_iterable(w)) for w in _in_parts(encoder, texts.to_pylist())]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
+            flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, count=int(ends[-1])))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
     return df.withColumn(out, encode(F.col(text_col)))
 
@@ -142,11 +168,11 @@ def count_tokens(df: DataFrame, text_col: str = "text", vocabulary: str = "byte_
     """``df`` with the number of tokens of a text (0 for null and empty), without moving the ids."""
     where = _settings(vocabulary, path, pattern)
 
-    @F.pandas_udf("bigint")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("bigint")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(*where)
         for texts in batches:
-            yield pd.Series([len(encoder.encode(t)) for t in texts], index=texts.index, dtype="int64")
+            yield pa.array([sum(map(len, w)) for w in _in_parts(encoder, texts.to_pylist())], pa.int64())
 
     return df.withColumn(out, count(F.col(text_col)))
 
