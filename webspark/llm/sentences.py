@@ -48,11 +48,11 @@ BEFORE_NUMBER = {
 #: Languages whose ordinals are written as a number and a full stop.
 ORDINALS = {"de"}
 
-_HARD = "!?։؝؞؟۔܀܁܂߹࠷࠹࠽࠾।॥၊။።፧፨᙮᜵᜶។៕᠃᠉᥄᥅‼‽⁇⁈⁉⸮⸼。꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫﹒﹖﹗！．？｡"
+#: Terminators of all scripts, by character property.
+_HARD = r"\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}"
 _CLOSE = "\"'’”»›)\\]}」』〉》】〕〗〙）］｝｣‘“«‹*_~"
 _TERMINATOR = regex.compile(f"[.…{_HARD};;]+")
 _WIDE = frozenset("。！？｡．")
-_PARAGRAPH = regex.compile(r"(?:[^\S\n\r]|\p{Cf})*(?:\r\n|[\n\r\x85  ])")
 _LINE = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _ITEM = regex.compile(r"[^\S\r\n]*(?:[-*+•‣▪◦·–—]|\(?\d{1,3}[.)]|\(?\p{L}\))[^\S\r\n]+\S")
 _HEADING = regex.compile(r"[^\S\r\n]*#{1,6}[^\S\r\n]+\S")
@@ -62,6 +62,7 @@ _WORD_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}\p{N}\-]+")
 _DOTTED = regex.compile(r"(?r)(?:\p{L}\.\s?)+\p{L}")
 _THAI = regex.compile(r"(?<=\p{Thai})\s+(?=\p{Thai})")
 _PAIRS = {"«": "»", "“": "”", "「": "」", "『": "』", "„": "“", "‘": "’", "‹": "›", "‚": "‘", "《": "》", "〈": "〉", "（": "）", "(": ")", "【": "】", "[": "]"}
+_QUOTE_MARK = regex.compile("[" + regex.escape("".join(_PAIRS) + "".join(_PAIRS.values()) + "\"'") + "]")
 _CASELESS = regex.compile(r"[\p{Lo}\p{Lm}]")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
 
@@ -104,37 +105,35 @@ _CACHE: dict[str, tuple] = {}
 
 def _quoted(text: str) -> list[tuple[int, int]]:
     """Spans of closed quotations and brackets of a paragraph, outermost only, ends exclusive.
-    A mark that is never closed in the paragraph opens nothing."""
-    spans, stack = [], []
+
+    One pass: a closing mark meets the last mark it can close, and what was opened after that one and
+    not closed opens nothing, like a mark that is never closed. Each mark is put on the stack and
+    taken off once, whatever the number of open ones.
+    """
+    closed: list[tuple[int, int]] = []
+    stack: list[tuple[str, int]] = []
+    waiting: dict[str, int] = {}
     n = len(text)
-    for i, c in enumerate(text):
-        left, right = text[i - 1] if i else " ", text[i + 1] if i + 1 < n else " "
-        if stack and c == stack[-1][0]:
-            if c in "’'" and left.isalnum() and right.isalnum():
+    for m in _QUOTE_MARK.finditer(text):
+        i, c = m.start(), m[0]
+        inside = 0 < i < n - 1 and text[i - 1].isalnum() and text[i + 1].isalnum()
+        if waiting.get(c) and not (c in "’'" and inside):
+            while True:
+                wanted, start = stack.pop()
+                waiting[wanted] -= 1
+                if wanted == c:
+                    break
+            closed.append((start, i + 1))
+        elif c in _PAIRS or c == '"' or (c == "'" and i + 1 < n and text[i + 1].isalnum() and not (i and text[i - 1].isalnum())):
+            if c == "‘" and inside:
                 continue
-            start = stack.pop()[1]
-            if not stack:
-                spans.append((start, i + 1))
-        elif c == '"':
-            if any(x[0] == '"' for x in stack):
-                while stack[-1][0] != '"':
-                    stack.pop()
-                start = stack.pop()[1]
-                if not stack:
-                    spans.append((start, i + 1))
-            else:
-                stack.append(('"', i))
-        elif c == "'":
-            if not left.isalnum() and right.isalnum():
-                stack.append(("'", i))
-        elif c in _PAIRS:
-            if c == "‘" and left.isalnum() and right.isalnum():
-                continue
-            stack.append((_PAIRS[c], i))
-    if stack:  # something stayed open: keep what closed inside it
-        inner = _quoted(text[stack[0][1] + 1 :])
-        shift = stack[0][1] + 1
-        spans += [(a + shift, b + shift) for a, b in inner]
+            wanted = _PAIRS.get(c, c)
+            stack.append((wanted, i))
+            waiting[wanted] = waiting.get(wanted, 0) + 1
+    spans: list[tuple[int, int]] = []
+    for a, b in sorted(closed):
+        if not spans or a >= spans[-1][1]:
+            spans.append((a, b))
     return spans
 
 
@@ -209,7 +208,7 @@ _OPENS = frozenset(
     am is are was were be been being do does did have has had can could may might must shall should will would
     not never always often sometimes usually rarely seldom again also even just only still then now soon later earlier today
     yesterday tomorrow meanwhile moreover therefore thus hence instead nevertheless nonetheless otherwise perhaps maybe
-    finally eventually recently afterwards indeed visitors""".split()
+    finally eventually recently afterwards indeed""".split()
 )
 _CAPITAL_NEXT = regex.compile(r"\s+\p{Lu}")
 _WORD_AT = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
@@ -304,7 +303,7 @@ def _after_quote(text: str, a: int, b: int, ms: int, me: int, after: int, lang:
         return False
     bracket = text[a] in "([（【"
     if bracket and not _BLANK.fullmatch(text, begin, a):
-        return _ends_sentence(text, ms, me, after, lang) and False
+        return False
     if _CASELESS.match(nxt):
         opened = bool(_BLANK.fullmatch(text, begin, a))
         if _CJK.match(nxt):
