@@ -1,9 +1,10 @@
 """Problem 8: mixing sources to target weights.
 
 Every source gets its share of a token budget. A source whose documents must be used r times on
-average gives floor(r) certain whole copies of each; the rest is a Pareto order sample: documents
-are ranked by random odds divided by inclusion odds and the smallest ranks are taken. Inclusion
-probabilities differ between sources; within one all documents have the same.
+average gives floor(r) certain whole copies of each; the rest is a Pareto order sample with unequal
+odds: a document's inclusion probability grows with its size, those that reach one are certain, and
+the others are ranked by random odds divided by inclusion odds. The sample's size is fixed in
+tokens: the smallest ranks are taken until the source's remaining tokens are met.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from webspark.io import materialize
 
 #: Rank buckets per source; the cut falls into one of them, the only one that is ordered.
 BUCKETS = 4096
+#: Rounds in which documents may become certain; each takes the largest ones, so a few suffice.
+ROUNDS = 12
 
 
 def _uniform(*key: Column, seed: int) -> Column:
@@ -46,26 +49,55 @@ def plan_shares(sizes: DataFrame, targets: DataFrame, total: float | None = None
     return listed.withColumn("weight", weight).withColumn("wanted", F.least(F.lit(budget) * F.col("weight"), (F.col("max_repeats") * F.col("tokens")).cast("double"))).drop("usable")
 
 
+def inclusion_scale(docs: DataFrame) -> DataFrame:
+    """(source, scale): a document of s tokens is included with probability min(1, scale * s), so that
+    the expected tokens of a source are its ``rest``. docs: source, n_tokens, rest.
+
+    Documents whose probability reaches one are certain; their tokens come off the rest and the scale
+    of the others is taken anew, until no more become certain. A round is one aggregation to a row a
+    source; the rounds end after ROUNDS at the latest, with the sums of the last.
+    """
+    sums = lambda df: df.groupBy("source").agg(F.first("rest").alias("rest"), F.sum("sure").alias("sure"), F.sum("square").alias("square"), F.count_if(F.col("sure") > 0).alias("n_sure"))
+    s = F.col("n_tokens").cast("double")
+    scale = sums(docs.withColumn("sure", F.lit(0.0)).withColumn("square", s * s))
+    scale = materialize(scale.select("source", F.when(F.col("square") > 0, F.col("rest") / F.col("square")).otherwise(0.0).alias("scale"), "n_sure"), "p8-scale")
+    for _ in range(ROUNDS):
+        placed = docs.join(scale.select("source", "scale"), "source")
+        certain = F.col("scale") * s >= 1
+        fresh = sums(placed.withColumn("sure", F.when(certain, s).otherwise(0.0)).withColumn("square", F.when(certain, 0.0).otherwise(s * s)))
+        fresh = fresh.select("source", F.when(F.col("square") > 0, F.greatest(F.col("rest") - F.col("sure"), F.lit(0.0)) / F.col("square")).otherwise(1e300).alias("scale"), "n_sure")
+        fresh = materialize(fresh, "p8-scale")
+        moved = fresh.join(scale.select("source", F.col("n_sure").alias("before")), "source").where("n_sure > before").limit(1).count()
+        # certain documents stay certain: the scale never falls
+        scale = materialize(fresh.join(scale.select("source", F.col("scale").alias("old")), "source").select("source", F.greatest("scale", "old").alias("scale"), "n_sure"), "p8-scale")
+        if not moved:
+            break
+    return scale.select("source", "scale")
+
+
 def sample_uses(sizes: DataFrame, plan: DataFrame, seed: int = 8) -> DataFrame:
-    """(doc_id, source, n_tokens, uses): the chosen documents.
+    """(doc_id, source, n_tokens, probability, uses): the chosen documents.
 
-    Expected uses r of each document of a source are wanted/tokens. floor(r) copies are certain.
-    For the remaining tokens each document has inclusion probability f = r - floor(r), its rank is
-    (u/(1-u)) / (f/(1-f)), and documents are taken in rank order until the remaining tokens are
-    met as nearly as a document allows. Ranks are bucketed (rank/(1+rank) in 4096 steps), buckets
+    Expected uses r of each document of a source are wanted/tokens; floor(r) copies are certain. For
+    the remaining tokens a document of s tokens has inclusion probability p = min(1, scale * s); its
+    rank is (u/(1-u)) / (p/(1-p)), and documents are taken in rank order until the remaining tokens
+    are met as nearly as a document allows. Ranks are bucketed (rank/(1+rank) in 4096 steps), buckets
     added up, and only the bucket where the sum crosses the target is put in order, so no source,
     however large, is sorted by one task. Equal ranks (repeated rows) fall in doc_id order.
     """
     docs = (
         sizes.where("n_tokens > 0").select("doc_id", "source", "n_tokens")
         .join(plan.where("wanted > 0").select("source", "wanted", "tokens"), "source")
-        .withColumn("r", F.col("wanted") / F.col("tokens"))
-        .withColumn("certain", F.floor(F.col("r") + 1e-12).cast("int"))
-        .withColumn("f", F.least(F.greatest(F.col("r") - F.col("certain"), F.lit(0.0)), F.lit(1.0 - 1e-12)))
+        .withColumn("certain", F.floor(F.col("wanted") / F.col("tokens") + 1e-12).cast("int"))
+        .withColumn("rest", F.greatest(F.col("wanted") - F.col("certain") * F.col("tokens"), F.lit(0.0)))
+    )
+    docs = (
+        docs.join(inclusion_scale(docs.select("source", "n_tokens", "rest")), "source")
+        .withColumn("probability", F.least(F.col("scale") * F.col("n_tokens"), F.lit(1.0)))
         .withColumn("u", _uniform(F.col("doc_id"), seed=seed))
-        .withColumn("rank", (F.col("u") / (1 - F.col("u"))) / F.greatest(F.col("f") / (1 - F.col("f")), F.lit(1e-300)))
+        .withColumn("odds", F.col("probability") / F.greatest(1 - F.col("probability"), F.lit(1e-300)))
+        .withColumn("rank", F.when(F.col("probability") >= 1, 0.0).otherwise((F.col("u") / (1 - F.col("u"))) / F.greatest("odds", F.lit(1e-300))))
         .withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int"))
-        .withColumn("rest", F.col("wanted") - F.col("certain") * F.col("tokens"))
     )
     buckets = docs.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("bucket_tokens"))
     upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -82,7 +114,7 @@ def sample_uses(sizes: DataFrame, plan: DataFrame, seed: int = 8) -> DataFrame:
     )
     return (
         whole.unionByName(none).unionByName(cut)
-        .select("doc_id", "source", "n_tokens", (F.col("certain") + F.col("extra")).alias("uses"))
+        .select("doc_id", "source", "n_tokens", "probability", (F.col("certain") + F.col("extra")).alias("uses"))
         .where("uses > 0")
     )
 
