@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from webspark.llm import near
 
 
@@ -56,3 +59,36 @@ def test_small_sets_are_exact(spark):
     expected = alike(texts, 3, 0.6, 40)
     assert len(expected) == 300
     assert found(spark, texts, words=3, threshold=0.6, least=40) == expected
+
+
+@pytest.mark.parametrize("pages", [12, 40, 400])
+def test_core_with_own_tails(spark, pages):
+    """One core, each page with a tail of its own: similarities of about 0.65 to 0.85."""
+    rng = random.Random(pages)
+    core = [f"c{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [(i, " ".join(core + [f"t{i}x{k}" for k in range(rng.randrange(15, 65))])) for i in range(pages)]
+    expected = alike(texts, 3, 0.6, 40)
+    assert len(expected) > 0.9 * pages * (pages - 1) / 2
+    assert found(spark, texts, words=3, threshold=0.6, least=40) == expected
+
+
+def test_pages_that_share_furniture_only(spark):
+    rng = random.Random(9)
+    furniture = " ".join(f"f{k}" for k in range(60))
+    texts = [(i, furniture + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))) for i in range(80)]
+    texts += [(100 + i, t + f" end{i}") for i, t in texts[:5]]
+    assert found(spark, texts, words=3, threshold=0.6, least=40) == {(i, 100 + i) for i in range(5)}
+
+
+def test_nulls_empty_and_long_texts(spark):
+    long = " ".join(f"l{k}" for k in range(50_000))
+    texts = [(1, None), (2, ""), (3, "too short"), (4, long), (5, long + " tail"), (6, long), (None, "x " * 50)]
+    assert found(spark, texts, words=3, threshold=0.6, least=40) == {(4, 5), (4, 6), (5, 6)}
+    assert found(spark, [], words=3, threshold=0.6, least=40) == set()
+
+
+def test_classes_count_links(spark):
+    texts = edited_copies(4, 2, seed=8)
+    df = spark.createDataFrame([*texts, (10, texts[0][1]), (11, "none " * 3)], "id bigint, markdown string").withColumn("k1", F.lit("x"))
+    got = {r.id: (r.class_id, r.n_links) for r in near.classes(df, "id", "markdown", words=3, threshold=0.6, least=40).collect()}
+    assert got == {0: (0, 3), 10: (0, 3), 1: (1, 3), 2: (2, 3), 3: (3, 3)}

@@ -128,8 +128,7 @@ WITH named AS (
 )
 """
 
-ORACLE = {
-    "p1_found": r"""
+_P1_SQL = r"""
 WITH jobs AS (
   SELECT id AS job_id, regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(regexp_replace(url, '[\s\p{Z}\p{Cc}\p{Cf}]+', '', 'g')), '^[^:/?#]*:?//', ''), '^[^/?#]*'), '^.*@', ''), ':\d*$', '') AS source
   FROM crawl_jobs
@@ -141,9 +140,27 @@ WITH jobs AS (
   FROM lines JOIN jobs USING (job_id) WHERE source <> ''
 ), often AS (
   SELECT source, k FROM keys WHERE k <> '' GROUP BY source, k HAVING count(DISTINCT id) >= 8
-)
-SELECT id, line_no FROM keys JOIN often USING (source, k)
-""",
+), found AS (SELECT id, line_no FROM keys JOIN often USING (source, k))
+"""
+
+_P5_SQL = r"""
+WITH words AS (SELECT id, regexp_extract_all(lower(markdown), '[\p{L}\p{N}]+') AS w FROM crawl_results WHERE markdown IS NOT NULL),
+sets AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM words WHERE len(w) >= 40),
+items AS (SELECT id, len(s) AS n, unnest(s) AS x FROM sets),
+near AS (SELECT a.id AS id_a, b.id AS id_b FROM items a JOIN items b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*)))
+"""
+
+ORACLE = {
+    "p1_found": _P1_SQL + "SELECT id, line_no FROM found",
+    "p1_clean": _P1_SQL
+    + """, gone AS (SELECT id, list(line_no) AS l FROM found GROUP BY id)
+SELECT r.id, job_id, CASE WHEN l IS NULL THEN markdown ELSE array_to_string(list_filter(string_split(markdown, chr(10)), lambda x, i: NOT list_contains(l, i)), chr(10)) END AS markdown, coalesce(len(l), 0)::INT AS n_removed
+FROM crawl_results r LEFT JOIN gone ON gone.id = r.id""",
+    "p5_found": _P5_SQL + "SELECT id_a, id_b FROM near",
+    "p5_classes": _P5_SQL
+    + """, c AS (SELECT id, min(id) OVER (PARTITION BY list_sort(s)) AS class_id FROM sets),
+l AS (SELECT DISTINCT a.class_id AS k, b.class_id AS o FROM (SELECT id_a, id_b FROM near UNION ALL SELECT id_b, id_a FROM near) n JOIN c a ON a.id = id_a JOIN c b ON b.id = id_b WHERE a.class_id <> b.class_id)
+SELECT id, class_id, count(o) AS n_links FROM c LEFT JOIN l ON l.k = c.class_id GROUP BY id, class_id""",
     "p4_found": _P4_SQL
     + """, firsts AS (SELECT *, min(id) OVER (PARTITION BY tbl, job_id, scheme, h, p, q) AS first_id FROM keys WHERE NOT unnamed)
 SELECT tbl, first_id, id FROM firsts WHERE id <> first_id""",

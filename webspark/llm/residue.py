@@ -43,7 +43,7 @@ SHORT_LINES, SHORT_WORDS = 4, 40
 #: Fixed values of trusted passages: marks of widespread template languages, values of failed
 #: rendering as programs print them (case counts), and the classical filler.
 TEMPLATE_MARKS = ("{{", "{%", "<%", "${", "#{", "%%", "[[", "{$", "<!--")
-FAILED_VALUES = frozenset([("object", "Object"), ("TODO", ":"), ("NaN",), ("undefined",)])
+FAILED_VALUES = frozenset([("object", "Object"), ("TODO", ":"), ("[", "Insert"), ("NaN",), ("undefined",)])
 FILLER = ("lorem", "ipsum")
 
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]+")
