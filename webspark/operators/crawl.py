@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from webspark.functions import urls
 from webspark.io import materialize
 from webspark.operators import robots
 from webspark.operators.links import LinkRules, filter_links, keep_first
+from webspark.operators.running import running_before
 
 
 @dataclass(frozen=True)
@@ -25,11 +25,10 @@ class CrawlRules:
     user_agent: str = ""
 
 
-def within_budget(ok: Column, limit: int, partition: list[str], order: list[str]) -> Column:
-    """Whether a row is still reached: fewer than ``limit`` successes come before it. Failures cost
-    nothing, and what is not reached stays pending."""
-    before = W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return F.coalesce(F.sum(ok.cast("bigint")).over(before), F.lit(0)) < limit
+def within_budget(rows: DataFrame, ok: Column, limit: int, group: list[str], order: str) -> DataFrame:
+    """The rows that are still reached: fewer than ``limit`` successes of their group come before
+    them. Failures cost nothing, and what is not reached stays pending."""
+    return running_before(rows, group, order, [order], {"ws_used": ok}).where(F.col("ws_used") < limit).drop("ws_used")
 
 
 def seeds(jobs: DataFrame, sitemap_links: DataFrame | None, rules: CrawlRules = CrawlRules(), robots_rules: DataFrame | None = None) -> DataFrame:
@@ -73,8 +72,8 @@ def crawl(starts: DataFrame, pages: DataFrame, rules: CrawlRules = CrawlRules(),
             counted = counted.join(spent, "job", "left").na.fill(0, ["spent"])
         else:
             counted = counted.withColumn("spent", F.lit(0).cast("bigint"))
-        earlier = W.partitionBy("job").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
-        used = F.col("spent") + F.coalesce(F.sum(F.col("ok").cast("bigint")).over(earlier), F.lit(0))
+        counted = running_before(counted, ["job"], "rank", ["rank"], {"earlier": F.col("ok")})
+        used = F.col("spent") + F.col("earlier")
         status = F.when(used >= rules.limit, "pending").when(~F.col("allowed"), "blocked").when(F.col("ok"), "done").otherwise("failed")
         last = F.when(used + 1 >= rules.limit, True).otherwise(False)
         done = materialize(counted.select("job", "url", "depth", "rank", status.alias("status"), last.alias("last"), F.when(status == "done", F.col("links")).alias("links")), "crawl-level")
@@ -89,7 +88,7 @@ def crawl(starts: DataFrame, pages: DataFrame, rules: CrawlRules = CrawlRules(),
         pages_in = source.select(F.struct("job", "rank").alias("page"), "url", "links", "depth")
         found = filter_links(pages_in, rules.links).select(F.col("page.job").alias("job"), F.col("page.rank").alias("parent"), "ord", "url", "depth")
         fresh = keep_first(found, ["job", "url"], ["parent", "ord"]).join(everything.select("job", "url"), ["job", "url"], "left_anti")
-        ranked = fresh.withColumn("rank", F.row_number().over(W.partitionBy("job").orderBy("parent", "ord")).cast("bigint"))
+        ranked = running_before(fresh, ["job"], "parent", ["parent", "ord"], {"rank": F.lit(1)})
         level = materialize(ranked.select("job", "url", "depth", "rank"), "crawl-frontier")
         if not level.limit(1).count():
             break

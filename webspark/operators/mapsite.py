@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from webspark.functions import urls
 from webspark.operators.links import keep_first
+from webspark.operators.sitemap import MOST_LINKS
 
 EMPTY_WARNING = "browser discovery returned no links"
 SEARCH_WARNING = "search relevance ordering is not supported; results are filtered by substring"
@@ -17,16 +18,16 @@ def _searched(df: DataFrame, search: str | None) -> DataFrame:
     return df.where(F.contains(F.lower("url"), F.lit(search.lower()))) if search else df
 
 
-def map_sorted(page_links: DataFrame, sitemap_links: DataFrame, search: str | None = None, limit: int | None = None) -> DataFrame:
+def map_sorted(page_links: DataFrame, sitemap_links: DataFrame, search: str | None = None, limit: int = MOST_LINKS) -> DataFrame:
     """(site, rank, url): the older map: all links once, in alphabetical order, the first ``limit``
     of each site. Both inputs: site, url."""
     every = _searched(page_links.select("site", "url").unionByName(sitemap_links.select("site", "url")).distinct(), search)
     ranked = every.withColumn("rank", F.row_number().over(W.partitionBy("site").orderBy("url")).cast("bigint"))
-    return (ranked.where(F.col("rank") <= limit) if limit is not None else ranked).select("site", "rank", "url")
+    return ranked.where(F.col("rank") <= limit).select("site", "rank", "url")
 
 
 def map_site(
-    page_links: DataFrame, sitemap_links: DataFrame, sitemap: str = "include", ignore_query: bool = True, search: str | None = None, limit: int | None = None
+    page_links: DataFrame, sitemap_links: DataFrame, sitemap: str = "include", ignore_query: bool = True, search: str | None = None, limit: int = MOST_LINKS
 ) -> DataFrame:
     """(site, rank, url): links in the order of discovery, page links before those of the sitemap,
     the first of those that differ in the query only. Both inputs: site, ord, url. ``sitemap``:
@@ -39,7 +40,7 @@ def map_site(
     merged = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
     first = keep_first(merged.withColumn("ws_key", urls.dedupe_key(F.col("url"), ignore_query)), ["site", "ws_key"], ["side", "ord", "url"]).drop("ws_key")
     ranked = _searched(first, search).withColumn("rank", F.row_number().over(W.partitionBy("site").orderBy("side", "ord", "url")).cast("bigint"))
-    return (ranked.where(F.col("rank") <= limit) if limit is not None else ranked).select("site", "rank", "url")
+    return ranked.where(F.col("rank") <= limit).select("site", "rank", "url")
 
 
 def map_warnings(maps: DataFrame, sites: DataFrame, searched: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from webspark.functions import text, urls
@@ -13,6 +14,10 @@ from webspark.io import materialize
 from webspark.operators.links import keep_first
 
 
+#: The most addresses a site's sitemaps give: the largest limit that can be asked for.
+MOST_LINKS = 100_000
+
+
 def body_text(body: Column) -> Column:
     """Text of a response body: gzip by its first bytes, else UTF-8; what calls itself gzip and is
     none is taken as text. Only packed bodies go to Python."""
@@ -71,7 +76,7 @@ def file_locations(files: DataFrame, tag: str) -> DataFrame:
     return rows.select("url", "ord", urls.resolve(F.col("raw"), F.col("url")).alias("loc")).where("loc is not null")
 
 
-def walk(starts: DataFrame, files: DataFrame, max_depth: int = 3, limit: int | None = None) -> DataFrame:
+def walk(starts: DataFrame, files: DataFrame, max_depth: int = 3, limit: int = MOST_LINKS) -> DataFrame:
     """(origin, rank, loc): the addresses that the sitemaps of each origin hold, in reading order.
 
     starts: origin, ord, url; files: url, xml. Indexes are followed level by level down to
@@ -100,7 +105,5 @@ def walk(starts: DataFrame, files: DataFrame, max_depth: int = 3, limit: int | N
         visited = visited.unionByName(part)
     rows = visited.join(leaves, "url").select("origin", "loc", F.concat("place", F.lit("/"), place(F.col("ord"))).alias("place"))
     first = keep_first(rows, ["origin", "loc"], ["place"])
-    from pyspark.sql import Window as W
-
     ranked = first.select("origin", F.row_number().over(W.partitionBy("origin").orderBy("place")).cast("bigint").alias("rank"), "loc")
-    return ranked.where(F.col("rank") <= limit) if limit is not None else ranked
+    return ranked.where(F.col("rank") <= limit)

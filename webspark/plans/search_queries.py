@@ -152,7 +152,7 @@ def first_success(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_OFFERS} SELECT query, string_agg(url, ' ' ORDER BY position) FILTER (source = 'web') AS web, string_agg(url, ' ' ORDER BY position) FILTER (source = 'news') AS news,
   string_agg(url, ' ' ORDER BY position) FILTER (source = 'images') AS images FROM w GROUP BY query""")
 def grouped_search(spark: SparkSession, d: str) -> DataFrame:
-    g = search.grouped(_winners(spark, d), 2**62)
+    g = search.grouped(_winners(spark, d).withColumn("position", F.col("position") % 7 + 1))
     return g.select("query", *[F.array_join(s, " ").alias(s) for s in _SOURCES])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webspark.functions import dates, jsonx
 from webspark.io import table
 from webspark.operators import crawl, jobs, keys
+from webspark.operators.running import running_before
 from webspark.plans.catalog import query
 
 NOW = 1_762_400_000_000
@@ -171,7 +172,7 @@ WITH q AS (SELECT *, (status = 'done')::INT AS ok FROM crawl_queue), b AS (
 SELECT job_id, count(*) AS reached, sum(ok)::BIGINT AS succeeded FROM b WHERE earlier < 20 GROUP BY job_id""")
 def crawl_budget(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "crawl_queue", "id", "job_id", "status").withColumn("ok", F.col("status") == "done")
-    reached = rows.withColumn("reached", crawl.within_budget(F.col("ok"), 20, ["job_id"], ["id"])).where("reached")
+    reached = crawl.within_budget(rows, F.col("ok"), 20, ["job_id"], "id")
     return reached.groupBy("job_id").agg(F.count(F.lit(1)).alias("reached"), F.count_if("ok").alias("succeeded"))
 
 
@@ -181,12 +182,11 @@ t AS (SELECT job_id, batch, count(*) FILTER (status IN ('done', 'failed')) AS tr
 SELECT job_id, batch, CAST(sum(tried) OVER w AS BIGINT) AS attempted, CAST(sum(ok) OVER w AS BIGINT) AS succeeded FROM t WINDOW w AS (PARTITION BY job_id ORDER BY batch)""")
 def batch_totals(spark: SparkSession, d: str) -> DataFrame:
     """Running totals of each job, a row a batch of five."""
-    from pyspark.sql import Window as W
-
-    rows = table(spark, d, "crawl_queue", "id", "job_id", "status").withColumn("batch", F.floor((F.row_number().over(W.partitionBy("job_id").orderBy("id")) - 1) / 5))
-    t = rows.groupBy("job_id", "batch").agg(F.count_if(F.col("status").isin("done", "failed")).alias("tried"), F.count_if(F.col("status") == "done").alias("ok"))
-    upto = W.partitionBy("job_id").orderBy("batch").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return t.select("job_id", "batch", F.sum("tried").over(upto).alias("attempted"), F.sum("ok").over(upto).alias("succeeded"))
+    rows = running_before(table(spark, d, "crawl_queue", "id", "job_id", "status"), ["job_id"], "id", ["id"], {"place": F.lit(1)})
+    batches = rows.withColumn("batch", F.floor(F.col("place") / 5)).groupBy("job_id", "batch")
+    t = batches.agg(F.count_if(F.col("status").isin("done", "failed")).alias("tried"), F.count_if(F.col("status") == "done").alias("ok"))
+    sums = running_before(t, ["job_id"], "batch", ["batch"], {"before_tried": F.col("tried"), "before_ok": F.col("ok")})
+    return sums.select("job_id", "batch", (F.col("before_tried") + F.col("tried")).alias("attempted"), (F.col("before_ok") + F.col("ok")).alias("succeeded"))
 
 
 def _keys(spark: SparkSession, d: str) -> DataFrame:
