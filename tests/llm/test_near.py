@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,13 @@ def test_classes_count_links(spark):
     df = spark.createDataFrame([*texts, (10, texts[0][1]), (11, "none " * 3)], "id bigint, markdown string").withColumn("k1", F.lit("x"))
     got = {r.id: (r.class_id, r.n_links) for r in near.classes(df, "id", "markdown", words=3, threshold=0.6, least=40).collect()}
     assert got == {0: (0, 3), 10: (0, 3), 1: (1, 3), 2: (2, 3), 3: (3, 3)}
+
+
+@pytest.mark.parametrize("small, large", [(60, 100), (95, 158), (96, 160), (383, 638), (39, 65)])
+def test_keys_across_bands(small, large):
+    """A set and one that holds it, at a similarity of 0.6, each alone in its batch."""
+    rng = np.random.default_rng(small)
+    for _ in range(40):
+        h = rng.integers(0, 2**63, size=large, dtype=np.uint64)
+        keys = [set(near.part_keys(np.zeros(len(x), np.int64), np.sort(x), 0.6)[1].tolist()) for x in (h[:small], h)]
+        assert len(keys[0] & keys[1]) >= 2
