@@ -71,6 +71,12 @@ def safe_code(safe: Column) -> Column:
     return F.when(safe, "1").otherwise("-2")
 
 
+def media_safe_code(source: Column, safe: Column) -> Column:
+    """The code of safe search for news and images: on, off, or the middle where it is left open."""
+    news = F.when(safe, "1").when(~safe, "-2").otherwise("-1")
+    return F.when(source == "news", news).otherwise(F.when(~safe, "-1").otherwise("1"))
+
+
 def _norm(value: Column) -> Column:
     return F.nullif(F.lower(F.trim(value)), F.lit(""))
 

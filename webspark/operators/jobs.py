@@ -92,6 +92,15 @@ def enqueue(candidates: DataFrame, queue: DataFrame) -> DataFrame:
     return fresh.join(queue.select("job_id", "url"), ["job_id", "url"], "left_anti").select("job_id", "url", "depth")
 
 
+def insert_results(results: DataFrame, rows: DataFrame, now: int) -> DataFrame:
+    """``results`` with new rows; rows: id, job_id, url, status and any of the other columns. What is
+    missing is null; metadata and json that are no JSON become null rather than fail the insert."""
+    have = set(rows.columns)
+    text = lambda c: jsonx.valid(F.col(c)) if c in ("metadata", "json") else F.col(c)
+    fields = [(text(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in results.schema if f.name != "created_at"]
+    return results.unionByName(rows.select(*fields, F.lit(now).cast("bigint").alias("created_at")))
+
+
 def results_page(results: DataFrame, limit: int = PAGE_SIZE, after: int = 0) -> DataFrame:
     """The first ``limit`` results of each job with an id above ``after``, in order, with ``next``:
     where the following page starts, on the last row of a page that has one."""

@@ -197,3 +197,20 @@ def grouped(winners: DataFrame, most: int = 100) -> DataFrame:
     A source holds ``most`` results at most, so a group is bounded."""
     ranked = winners.where(F.col("position") <= most).groupBy("query", "source").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "url"))), lambda x: x["url"]).alias("urls"))
     return ranked.groupBy("query").pivot("source", ["web", "news", "images"]).agg(F.first("urls"))
+
+
+def with_pages(winners: DataFrame, pages: DataFrame) -> DataFrame:
+    """Search results with their stored pages: ``found`` and the columns of ``pages`` (url unique)."""
+    stored = pages.withColumnRenamed("url", "ws_u").withColumn("ws_has", F.lit(True))
+    joined = winners.join(stored, F.col("url") == F.col("ws_u"), "left")
+    return joined.withColumn("found", F.coalesce("ws_has", F.lit(False))).drop("ws_u", "ws_has")
+
+
+def envelope(asked: DataFrame, winners: DataFrame) -> DataFrame:
+    """(query, success, web, news, images, warning): how many results each source has (null for none),
+    and the warnings joined; a search without any result is no success."""
+    counts = winners.groupBy("query").pivot("source", ["web", "news", "images"]).agg(F.count(F.lit(1)))
+    notes = missing_sources(asked, winners).groupBy("query").agg(F.array_join(F.sort_array(F.collect_set("warning")), "; ").alias("warning"))
+    every = asked.select("query").distinct().join(counts, "query", "left").join(notes, "query", "left")
+    some = F.coalesce("web", "news", "images").isNotNull()
+    return every.select("query", some.alias("success"), "web", "news", "images", "warning")

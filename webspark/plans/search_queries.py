@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from webspark.functions import dates, jsonx, params, text
 from webspark.io import table
 from webspark.operators import extract, search
+from webspark.operators.links import keep_first
 from webspark.plans.catalog import query
 
 _SAID = "url IS NOT NULL AND url LIKE 'http%'"
@@ -168,6 +169,34 @@ def search_outcome(spark: SparkSession, d: str) -> DataFrame:
     return search.outcome(asked, _winners(spark, d))
 
 
+@query(f"""WITH {_OFFERS}, c2 AS (SELECT query, nullif(count(*) FILTER (source = 'web'), 0) AS web, nullif(count(*) FILTER (source = 'news'), 0) AS news, nullif(count(*) FILTER (source = 'images'), 0) AS images FROM w GROUP BY query)
+SELECT query, coalesce(web, news, images) IS NOT NULL AS success, web, news, images, nullif(concat_ws('; ', CASE WHEN images IS NULL THEN 'no provider returned results for images' END,
+  CASE WHEN news IS NULL THEN 'no provider returned results for news' END, CASE WHEN web IS NULL THEN 'no provider returned results for web' END), '') AS warning FROM (SELECT DISTINCT query FROM o) LEFT JOIN c2 USING (query)""")
+def search_envelope(spark: SparkSession, d: str) -> DataFrame:
+    asked = _offers(spark, d).select("query").distinct().select("query", F.explode(F.array(*[F.lit(s) for s in _SOURCES])).alias("source"))
+    return search.envelope(asked, _winners(spark, d))
+
+
+@query(f"""WITH {_PAGED}, t AS (SELECT * FROM (SELECT query, url, row_number() OVER (PARTITION BY query ORDER BY page, pos) AS position FROM good) WHERE position <= 3),
+p AS (SELECT url, arg_min(n_chars, doc_id) AS n_chars FROM (SELECT url, doc_id, coalesce(n_chars, 0) AS n_chars FROM documents WHERE doc_id % 2 = 0) GROUP BY url)
+SELECT query, position, t.url, p.url IS NOT NULL AS found, n_chars FROM t LEFT JOIN p ON p.url = t.url""")
+def search_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The first three web results of each query with their stored pages, of which every second is there."""
+    rows = _docs(spark, d).select("query", "page", F.col("doc_id").alias("pos"), "url")
+    stored = table(spark, d, "documents", "doc_id", "url", "n_chars").where("doc_id % 2 = 0 and url is not null").withColumn("n_chars", F.coalesce("n_chars", F.lit(0)))
+    pages = keep_first(stored, ["url"], ["doc_id"]).select("url", "n_chars")
+    return search.with_pages(search.until_dry(rows, 3), pages).select("query", "position", "url", "found", "n_chars")
+
+
+@query("""SELECT n_nationkey AS k, s.source, CASE WHEN n_nationkey % 3 = 0 THEN '1' WHEN s.source = 'images' THEN CASE WHEN n_nationkey % 3 = 1 THEN '-1' ELSE '1' END WHEN n_nationkey % 3 = 1 THEN '-2' ELSE '-1' END AS p
+FROM nation, (VALUES ('news'), ('images')) s(source)""")
+def safe_codes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    rows = table(spark, d, "nation", "n_nationkey").select(k.alias("k"), F.explode(F.array(F.lit("news"), F.lit("images"))).alias("source"))
+    asked = F.when(F.col("k") % 3 == 0, True).when(F.col("k") % 3 == 1, False)
+    return rows.select("k", "source", params.media_safe_code(F.col("source"), asked).alias("p"))
+
+
 @query("""
 WITH o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 100 - 5)::INT AS b FROM orders),
 t AS (SELECT k, CASE k % 8 WHEN 0 THEN 'qdr:w' WHEN 1 THEN 'Month' WHEN 2 THEN 'sbd:1' WHEN 3 THEN 'sbd:1,qdr:y' WHEN 4 THEN 'qdr:h2' WHEN 5 THEN 'odd' WHEN 6 THEN 'cdr:1' ELSE 'cdr:1,cd_min:' || strftime(a, '%m/%d/%Y') || ',cd_max:' || strftime(b, '%m/%d/%Y') END AS tbs,

@@ -146,6 +146,29 @@ def results_metadata(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""
+WITH n AS (SELECT id, job_id, url FROM crawl_queue WHERE status = 'failed')
+SELECT status, error, count(*) AS n, count(metadata) AS with_metadata FROM (SELECT status, error, metadata FROM crawl_results UNION ALL SELECT 'failed', 'lost', CASE WHEN id % 2 = 0 THEN '{"a": 1}' END FROM n) GROUP BY ALL""")
+def insert_results(spark: SparkSession, d: str) -> DataFrame:
+    """The results with one more for each failed row of the queue; every second brings metadata that is none."""
+    lost = table(spark, d, "crawl_queue", "id", "job_id", "url", "status").where("status = 'failed'")
+    rows = lost.withColumn("error", F.lit("lost")).withColumn("metadata", F.when(F.col("id") % 2 == 0, '{"a": 1}').otherwise("{a"))
+    return jobs.insert_results(table(spark, d, "crawl_results"), rows, NOW).groupBy("status", "error").agg(F.count(F.lit(1)).alias("n"), F.count("metadata").alias("with_metadata"))
+
+
+@query("""
+WITH o AS (SELECT id, CASE WHEN json_valid(options) THEN options END AS o FROM crawl_jobs)
+SELECT id, least(greatest(coalesce(try_cast(o ->> '$.limit' AS BIGINT), 100), 1), 1000) AS limit_pages, least(greatest(coalesce(try_cast(o ->> '$.maxDiscoveryDepth' AS BIGINT), 3), 0), 3) AS max_depth,
+  coalesce(try_cast(o ->> '$.allowExternalLinks' AS BOOLEAN), false) AS allow_external FROM o""")
+def crawl_params(spark: SparkSession, d: str) -> DataFrame:
+    """Stored options brought into legal ranges, defaults for what can't be read."""
+    o = F.col("options")
+    return table(spark, d, "crawl_jobs", "id", "options").select(
+        "id", jsonx.clamp(jsonx.int_at(o, "$.limit"), 1, 1000, 100).alias("limit_pages"), jsonx.clamp(jsonx.int_at(o, "$.maxDiscoveryDepth"), 0, 3, 3).alias("max_depth"),
+        F.coalesce(jsonx.bool_at(o, "$.allowExternalLinks"), F.lit(False)).alias("allow_external"),
+    )
+
+
 @query("""
 SELECT j.id, CASE WHEN j.status = 'failed' THEN 'crawl.failed' ELSE 'crawl.completed' END AS type, j.status, j.total, j.completed, least(coalesce(n, 0), 50)::INT AS n_data
 FROM crawl_jobs j LEFT JOIN (SELECT job_id, count(*) AS n FROM crawl_results GROUP BY 1) r ON r.job_id = j.id WHERE j.status IN ('completed', 'failed')""")
