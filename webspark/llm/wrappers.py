@@ -28,6 +28,8 @@ from webspark.llm.words import LINK, WORD
 #: A text is a constant of a site on so many of its pages (a quarter of them where that is less, but
 #: no fewer than the second number), or on pages of so many sites.
 SITE_PAGES, LEAST_PAGES, SITES = 8, 4, 6
+#: A leading word that is a constant on so many sites is one on all.
+LEAD_SITES = 2
 #: Pages aligned in one group before the wrappers themselves are aligned.
 GROUP_PAGES = 400
 #: Partial wrappers of a site aligned in one step.
@@ -67,7 +69,8 @@ def _inner(target: str, site: str) -> bool:
 
 def line_tokens(markdown: str, site: str) -> list[tuple[int, int, int, int, bool]]:
     """(line_no, kind, constant symbol, lead symbol, before the title) of each line that is no blank
-    and no code. Pages of NOTICE_WORDS words or fewer have none."""
+    and no code. The lead is the first word of a phrase, or the first two of a sentence that names the
+    site; 0 for other lines. Pages of NOTICE_WORDS words or fewer have none."""
     if len(WORD.findall(markdown[:2000])) <= NOTICE_WORDS and len(WORD.findall(markdown)) <= NOTICE_WORDS:
         return []
     name = "".join(c for c in site.rsplit(".", 1)[0] if c.isalpha())
@@ -92,6 +95,7 @@ def line_tokens(markdown: str, site: str) -> list[tuple[int, int, int, int, bool
         if name and len(name) > 3:
             letters = letters.replace(name, "\x01")
         lead = ""
+        named = "\x01" in letters
         if i == title:
             kind = TITLE
         elif linked:
@@ -108,10 +112,11 @@ def line_tokens(markdown: str, site: str) -> list[tuple[int, int, int, int, bool
             kind = QUOTE
         elif _ENDED.search(text.rstrip(_EMPHASIS)):
             kind = SENTENCE
+            if named:
+                lead = " ".join(w.lower() for w in WORD.findall(text)[:2])
         else:
             kind = PHRASE
-            bare = text.strip(_EMPHASIS + "#")
-            m = WORD.search(bare)
+            m = WORD.search(text)
             lead = ("←" if text.lstrip(" *_").startswith("←") else "") + (m[0].lower() if m else "")
         out.append((i + 1, kind, _hash(letters) if letters else 0, _hash("lead " + lead) if lead else 0, i < title))
     return out
@@ -160,7 +165,7 @@ def constants(tokens: DataFrame) -> DataFrame:
     ours = texts.join(shared, "text", "left").join(n_pages, "site").where(F.col("shared") | (F.col("n") >= enough)).select("site", F.col("text").alias("symbol"))
     # a lead that is a constant of several sites is one of all
     own = leads.join(n_pages, "site").withColumn("enough", F.col("n") >= enough)
-    common = own.where("enough").groupBy("lead").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= SITES).select("lead", F.lit(True).alias("shared"))
+    common = own.where("enough").groupBy("lead").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= LEAD_SITES).select("lead", F.lit(True).alias("shared"))
     led = own.join(common, "lead", "left").where(F.col("enough") | F.col("shared")).select("site", F.col("lead").alias("symbol"))
     return ours.unionByName(led)
 
@@ -235,7 +240,7 @@ def page_symbols(kind: list[int], text: list[int], lead: list[int], before: list
             s, behind = TITLE, False
         elif c:
             s, behind = t, True
-        elif k == PHRASE and h:
+        elif h:
             s, behind = l, True
         else:
             if k not in (STARRED, INNER_LINK):
@@ -327,8 +332,8 @@ def infer(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     leads = known.select("site", F.col("symbol").alias("lead"), F.lit(True).alias("led"))
     groups = tokens.select("site", "id").distinct().groupBy("site").agg(F.ceil(F.count(F.lit(1)) / GROUP_PAGES).cast("int").alias("groups"))
     groups = materialize(groups, "p3-groups")
-    phrases = tokens.where(f"kind = {PHRASE} and lead <> 0").join(leads, ["site", "lead"], "left")
-    others = tokens.where(f"kind <> {PHRASE} or lead = 0").withColumn("led", F.lit(None).cast("boolean"))
+    phrases = tokens.where("lead <> 0").join(leads, ["site", "lead"], "left")
+    others = tokens.where("lead = 0").withColumn("led", F.lit(None).cast("boolean"))
     marked = (
         phrases.unionByName(others).join(texts, ["site", "text"], "left").join(groups, "site")
         .select(
