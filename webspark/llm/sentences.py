@@ -9,6 +9,7 @@ sentence around them. Paragraphs, headings, list items and Thai spacing follow T
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -214,6 +215,14 @@ _CAPITAL_NEXT = regex.compile(r"\s+\p{Lu}")
 _WORD_AT = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
 
 
+@lru_cache(2)
+def _words_as_written(text: str) -> frozenset[str]:
+    return frozenset(_RUN.findall(text))
+
+
+_RUN = regex.compile(r"[\p{L}\p{N}]+")
+
+
 def _opens(text: str, at: int) -> bool:
     """Whether the capitalised word at a position begins a sentence: it is of a closed class, or the
     text has it in lower case elsewhere, so that it is no name. Else it goes on (U.S. Senate)."""
@@ -224,7 +233,7 @@ def _opens(text: str, at: int) -> bool:
     if low in _OPENS:
         return True
     titled = _CAPITAL_NEXT.match(text, m.end())  # State Department
-    return bool(len(low) > 1 and not titled and regex.search(rf"(?<![\p{{L}}\p{{N}}]){low}(?![\p{{L}}\p{{N}}])", text))
+    return len(low) > 1 and not titled and low in _words_as_written(text)
 
 
 def _paragraph(text: str, base: int, lang: str, out: list[tuple[int, int]]) -> None:
