@@ -22,8 +22,9 @@ ROUNDS = 12
 
 
 def _uniform(*key: Column, seed: int) -> Column:
-    """A fixed pseudo-random number in (0, 1) for a key."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    """A fixed pseudo-random number in (0, 1) for a key: the first 12 digits of its MD5."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key])), 1, 12)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
 def plan_shares(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
@@ -57,21 +58,21 @@ def inclusion_scale(docs: DataFrame) -> DataFrame:
     of the others is taken anew, until no more become certain. A round is one aggregation to a row a
     source; the rounds end after ROUNDS at the latest, with the sums of the last.
     """
-    sums = lambda df: df.groupBy("source").agg(F.first("rest").alias("rest"), F.sum("sure").alias("sure"), F.sum("square").alias("square"), F.count_if(F.col("sure") > 0).alias("n_sure"))
     s = F.col("n_tokens").cast("double")
-    scale = sums(docs.withColumn("sure", F.lit(0.0)).withColumn("square", s * s))
-    scale = materialize(scale.select("source", F.when(F.col("square") > 0, F.col("rest") / F.col("square")).otherwise(0.0).alias("scale"), "n_sure"), "p8-scale")
+    first = docs.groupBy("source").agg(F.first("rest").alias("rest"), F.sum(s * s).alias("square"))
+    scale = materialize(first.select("source", F.when(F.col("square") > 0, F.col("rest") / F.col("square")).otherwise(0.0).alias("scale"), F.lit(0).cast("bigint").alias("n_sure")), "p8-scale")
     for _ in range(ROUNDS):
-        placed = docs.join(scale.select("source", "scale"), "source")
         certain = F.col("scale") * s >= 1
-        fresh = sums(placed.withColumn("sure", F.when(certain, s).otherwise(0.0)).withColumn("square", F.when(certain, 0.0).otherwise(s * s)))
-        fresh = fresh.select("source", F.when(F.col("square") > 0, F.greatest(F.col("rest") - F.col("sure"), F.lit(0.0)) / F.col("square")).otherwise(1e300).alias("scale"), "n_sure")
-        fresh = materialize(fresh, "p8-scale")
-        moved = fresh.join(scale.select("source", F.col("n_sure").alias("before")), "source").where("n_sure > before").limit(1).count()
-        # certain documents stay certain: the scale never falls
-        scale = materialize(fresh.join(scale.select("source", F.col("scale").alias("old")), "source").select("source", F.greatest("scale", "old").alias("scale"), "n_sure"), "p8-scale")
-        if not moved:
+        sums = docs.join(scale, "source").groupBy("source").agg(
+            F.first("rest").alias("rest"), F.sum(F.when(certain, s).otherwise(0.0)).alias("sure"), F.sum(F.when(certain, 0.0).otherwise(s * s)).alias("square"),
+            F.count_if(certain).alias("now"), F.first("scale").alias("old"), F.first("n_sure").alias("before"),
+        )
+        fresh = F.when(F.col("square") > 0, F.greatest(F.col("rest") - F.col("sure"), F.lit(0.0)) / F.col("square")).otherwise(1e300)
+        # what is certain stays so: the scale never falls
+        scale = materialize(sums.select("source", F.greatest(fresh, "old").alias("scale"), F.col("now").alias("n_sure"), (F.col("now") > F.col("before")).alias("moved")), "p8-scale")
+        if not scale.where("moved").limit(1).count():
             break
+        scale = scale.drop("moved")
     return scale.select("source", "scale")
 
 

@@ -93,6 +93,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p8_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The same mixture with sizes in characters, which SQL can follow."""
+    docs = table(spark, d, "documents", "doc_id", "source", "n_chars").select("doc_id", "source", F.coalesce("n_chars", F.lit(0)).alias("n_tokens"))
+    return mixing.mix(docs, table(spark, d, "mix_targets"))[0].select("doc_id", "source", "n_tokens", "uses")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents", "doc_id", "text", "lang"))
 
@@ -103,7 +109,7 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_texts(docs)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p3_found, p3_bodies, p3_wrappers, p4_found, p4_pages, p5_found, p5_classes, p6_found, p6_clean, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p3_found, p3_bodies, p3_wrappers, p4_found, p4_pages, p5_found, p5_classes, p6_found, p6_clean, p7_ids, p7_decoded, p8_mix, p8_shares, p8_chars, p9_found, p9_sentences)}
 
 _P4_SQL = r"""
 WITH named AS (
@@ -167,5 +173,21 @@ SELECT tbl, first_id, id FROM firsts WHERE id <> first_id""",
     "p4_pages": _P4_SQL
     + """SELECT tbl, job_id, min(id) AS first_id, count(*) AS n_copies FROM keys WHERE NOT unnamed GROUP BY tbl, job_id, scheme, h, p, q
 UNION ALL SELECT tbl, job_id, id, 1 FROM keys WHERE unnamed""",
+    "p8_chars": """
+WITH s AS (SELECT doc_id, source, n_chars AS n FROM documents WHERE n_chars > 0 AND source IS NOT NULL),
+h AS (SELECT source, sum(n) AS tokens FROM s GROUP BY source),
+t AS (SELECT m.source, target_share, max_repeats, tokens FROM mix_targets m JOIN h USING (source) WHERE target_share > 0 AND max_repeats > 0),
+b AS (SELECT sum(target_share) AS share, min(max_repeats * tokens / target_share) AS most FROM t),
+w AS (SELECT source, tokens, least(most * share * (target_share / share), max_repeats * tokens) AS wanted FROM t, b),
+r AS (SELECT source, floor(wanted / tokens + 1e-12)::INT AS certain, greatest(wanted - floor(wanted / tokens + 1e-12) * tokens, 0) AS rest FROM w),
+-- the k largest documents are certain where the scale of the others keeps them below one
+k AS (SELECT source, rest, n::DOUBLE AS n, sum(n::DOUBLE) OVER w - n AS larger, sum(n::DOUBLE * n) OVER v - (sum(n::DOUBLE * n) OVER w - n::DOUBLE * n) AS squares
+  FROM s JOIN r USING (source) WINDOW w AS (PARTITION BY source ORDER BY n DESC, doc_id ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY source)),
+l AS (SELECT source, arg_min((rest - larger) / squares, larger) FILTER ((rest - larger) / squares * n < 1) AS scale FROM k GROUP BY source),
+p AS (SELECT doc_id, source, n, certain, rest, least(coalesce(scale, 1e300) * n, 1.0) AS p, (('0x' || substr(md5('8:' || doc_id), 1, 12))::BIGINT + 0.5) / 281474976710656.0 AS u FROM s JOIN r USING (source) LEFT JOIN l USING (source)),
+q AS (SELECT *, CASE WHEN p >= 1 THEN 0.0 ELSE u / (1 - u) / greatest(p / (1 - p), 1e-300) END AS rank FROM p),
+c AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY rank, doc_id, n ROWS UNBOUNDED PRECEDING) - n AS before FROM q),
+u AS (SELECT doc_id, source, n, certain + CASE WHEN before + n <= rest THEN 1 WHEN before < rest AND before + n / 2 <= rest THEN 1 ELSE 0 END AS uses FROM c)
+SELECT doc_id, source, n AS n_tokens, uses FROM u WHERE uses > 0""",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
