@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,12 +73,15 @@ _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
 def language_of(lang: str | None, text: str) -> str:
     """The language whose abbreviations apply: the script decides, the label only among languages
     of the Latin script (there by its first letters; unknown or missing labels by frequent words)."""
-    for script, code in (("Cyrillic", "ru"), ("Greek", "el"), ("Arabic", "ar"), ("Devanagari", "hi"), ("Thai", "th"), ("Hiragana", "ja"), ("Han", "zh")):
-        hits = len(_SCRIPTS[script].findall(text))
-        if hits and hits * 4 >= len(_SCRIPTS["Latin"].findall(text)):
+    latin = sum(map(len, _SCRIPTS["Latin"].findall(text)))
+    for script, code in _BY_SCRIPT:
+        hits = sum(map(len, _SCRIPTS[script].findall(text)))
+        if hits and hits * 4 >= latin:
             return code
-    words = _FREQUENT.findall(text.lower())
-    count = {code: sum(w in own for w in words) for code, own in _COMMON.items()}
+    count = dict.fromkeys(_COMMON, 0)
+    for word in _FREQUENT.findall(text.lower()):
+        for code in _LANGUAGES_OF.get(word, ()):
+            count[code] += 1
     best = max(count, key=lambda c: (count[c], c == "en"))
     if count[best]:
         return best
@@ -84,7 +89,8 @@ def language_of(lang: str | None, text: str) -> str:
     return code if code in _COMMON else "en"
 
 
-_SCRIPTS = {s: regex.compile(rf"\p{{{s}}}") for s in ("Cyrillic", "Greek", "Arabic", "Devanagari", "Thai", "Hiragana", "Han", "Latin")}
+_BY_SCRIPT = (("Cyrillic", "ru"), ("Greek", "el"), ("Arabic", "ar"), ("Devanagari", "hi"), ("Thai", "th"), ("Hiragana", "ja"), ("Han", "zh"))
+_SCRIPTS = {s: regex.compile(rf"\p{{{s}}}+") for s in ("Cyrillic", "Greek", "Arabic", "Devanagari", "Thai", "Hiragana", "Han", "Latin")}
 _FREQUENT = regex.compile(r"\p{L}+")
 #: Very frequent words, to tell Latin-script languages apart.
 _COMMON = {
@@ -93,6 +99,7 @@ _COMMON = {
     "fr": frozenset("le la les de des et en un une du est que qui dans pour ses".split()),
     "es": frozenset("el la los las de y en un una del es que se por con para".split()),
 }
+_LANGUAGES_OF = {w: [c for c, own in _COMMON.items() if w in own] for w in frozenset().union(*_COMMON.values())}
 
 
 def _sets(lang: str) -> tuple[frozenset, frozenset, frozenset]:
@@ -410,10 +417,14 @@ def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated rows give their units again; further columns are ignored whatever their names.
     """
 
-    @F.pandas_udf("array<struct<start_pos:bigint,end_pos:bigint>>")
-    def spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<struct<start_pos:bigint,end_pos:bigint>>")
+    def spans(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, langs in batches:
-            yield pd.Series([[{"start_pos": a, "end_pos": b} for a, b in sentence_spans(t, l)] for t, l in zip(texts, langs)], index=texts.index, dtype=object)
+            found = [sentence_spans(t, l) for t, l in zip(texts.to_pylist(), langs.to_pylist())]
+            flat = np.array(list(chain.from_iterable(found)), np.int64).reshape(-1, 2)
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int64)
+            pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start_pos", "end_pos"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
 
     lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
     return (
@@ -426,10 +437,10 @@ def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def sentence_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """(id, sentence_no, sentence): the units of each text themselves, numbered from 1."""
 
-    @F.pandas_udf("array<string>")
-    def units(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def units(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, langs in batches:
-            yield pd.Series([[t[a:b] for a, b in sentence_spans(t, l)] for t, l in zip(texts, langs)], index=texts.index, dtype=object)
+            yield pa.array([[t[a:b] for a, b in sentence_spans(t, l)] for t, l in zip(texts.to_pylist(), langs.to_pylist())], pa.list_(pa.string()))
 
     lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
     return (
