@@ -64,6 +64,7 @@ _NEXT = regex.compile(r"[\s\p{Cf}]*([\p{Ps}\p{Pi}\p{Pd}\"'¿¡*_«»„“‘‚
 _WORD_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}\p{N}\-]+")
 _DOTTED = regex.compile(r"(?r)(?:\p{L}\.\s?)+\p{L}")
 _THAI = regex.compile(r"(?<=\p{Thai})\s+(?=\p{Thai})")
+_THAI_LETTER = regex.compile(r"\p{Thai}")
 _PAIRS = {"«": "»", "“": "”", "「": "」", "『": "』", "„": "“", "‘": "’", "‹": "›", "‚": "‘", "《": "》", "〈": "〉", "（": "）", "(": ")", "【": "】", "[": "]"}
 _QUOTE_MARK = regex.compile("[" + regex.escape("".join(_PAIRS) + "".join(_PAIRS.values()) + "\"'") + "]")
 _CASELESS = regex.compile(r"[\p{Lo}\p{Lm}]")
@@ -73,8 +74,9 @@ _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
 def language_of(lang: str | None, text: str) -> str:
     """The language whose abbreviations apply: the script decides, the label only among languages
     of the Latin script (there by its first letters; unknown or missing labels by frequent words)."""
-    latin = sum(map(len, _SCRIPTS["Latin"].findall(text)))
-    for script, code in _BY_SCRIPT:
+    other = _OTHER_SCRIPT.search(text)
+    latin = sum(map(len, _SCRIPTS["Latin"].findall(text))) if other else 0
+    for script, code in _BY_SCRIPT if other else ():
         hits = sum(map(len, _SCRIPTS[script].findall(text)))
         if hits and hits * 4 >= latin:
             return code
@@ -91,6 +93,7 @@ def language_of(lang: str | None, text: str) -> str:
 
 _BY_SCRIPT = (("Cyrillic", "ru"), ("Greek", "el"), ("Arabic", "ar"), ("Devanagari", "hi"), ("Thai", "th"), ("Hiragana", "ja"), ("Han", "zh"))
 _SCRIPTS = {s: regex.compile(rf"\p{{{s}}}+") for s in ("Cyrillic", "Greek", "Arabic", "Devanagari", "Thai", "Hiragana", "Han", "Latin")}
+_OTHER_SCRIPT = regex.compile("[" + "".join(rf"\p{{{s}}}" for s, _ in _BY_SCRIPT) + "]")
 _FREQUENT = regex.compile(r"\p{L}+")
 #: Very frequent words, to tell Latin-script languages apart.
 _COMMON = {
@@ -145,6 +148,18 @@ def _quoted(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+@lru_cache(1 << 13)
+def _is_cjk(char: str) -> bool:
+    return bool(_CJK.match(char))
+
+
+@lru_cache(1 << 12)
+def _mark_kind(mark: str) -> tuple[bool, bool, bool, bool]:
+    """Of a run of terminators: only semicolons, only dots, one that needs no blank, only ellipses."""
+    signs = set(mark)
+    return signs <= {";", "\u037e"}, signs <= {".", "…"}, bool(signs & _WIDE), signs == {"…"}
+
+
 def _ends_sentence(text: str, start: int, end: int, after: int, lang: str) -> bool:
     """Whether the terminator text[start:end], whose closing marks end at ``after``, ends a sentence."""
     mark = text[start:end]
@@ -154,21 +169,21 @@ def _ends_sentence(text: str, start: int, end: int, after: int, lang: str) -> bo
     before = text[start - 1] if start else ""
     if not nxt and not openers.strip():
         return True
-    if set(mark) <= {";", ";"}:
+    semicolon, only_dots, wide, ellipsis = _mark_kind(mark)
+    if semicolon:
         return lang == "el" and spaced and not nxt.islower()
-    only_dots = set(mark) <= {".", "…"}
-    wide = bool(set(mark) & _WIDE) or (not only_dots and bool(_CJK.match(before or " ")))
+    wide = wide or (not only_dots and _is_cjk(before or " "))
     if not spaced and not wide:
         # blanks may be missing: only letters of different sentences, never names with dots
         if only_dots:
             if mark != "." or not before or not nxt.isupper() or openers:
-                return mark == "." and bool(_CJK.match(before or " ")) and bool(_CJK.match(nxt or " "))
+                return mark == "." and _is_cjk(before or " ") and _is_cjk(nxt or " ")
             word = _WORD_BEFORE.search(text, 0, start)
             return bool(word and len(word[0]) > 1 and word[0].islower() and "." not in text[max(0, word.start() - 1) : word.start()])
         return nxt.isupper() or bool(openers.strip()) or (bool(_CASELESS.match(nxt or " ")))
     if nxt.islower():
         return False
-    if mark == "…" * len(mark) and _CJK.match(before or " "):
+    if ellipsis and _is_cjk(before or " "):
         return False
     if only_dots and len(mark) == 1 and mark == "." and after == end:
         word = _WORD_BEFORE.search(text, 0, start)
@@ -273,14 +288,15 @@ def _paragraph(text: str, base: int, lang: str, out: list[tuple[int, int]]) -> N
         at = end
         after = _closers(text, end)
         # a quotation may open right behind the mark; its opening sign isn't a closing one
-        for a, b in quoted[q : q + 3]:
-            if end <= a < after:
-                after = a
+        if after > end and q < len(quoted):
+            for a, b in quoted[q : q + 3]:
+                if end <= a < after:
+                    after = a
         if _ends_sentence(text, start, end, after, lang):
             cuts.append(after)
             at = begin = max(after, end)
-    for m in _THAI.finditer(text):
-        cuts.append(m.start())
+    if _THAI_LETTER.search(text):
+        cuts += [m.start() for m in _THAI.finditer(text)]
     prev = 0
     for c in [*sorted(set(cuts)), n]:
         _unit(text, prev, c, base, out)
