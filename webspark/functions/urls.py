@@ -88,8 +88,11 @@ def discovery_form(url: Column) -> Column:
 def url_key(url: Column) -> Column:
     """What makes two results the same page: host, path without a slash at the end, query. Scheme,
     port and fragment don't count. Null for what is no http address."""
-    p = path(url)
-    return F.when(is_http(url), F.concat(host(url), F.when(p == "/", p).otherwise(F.regexp_replace(p, "/$", "")), query(url)))
+    whole = r"^[A-Za-z][A-Za-z0-9+.\-]*:[/\\]*(?:[^/?#\\]*@)?([^/?#\\:]*)[^/?#\\]*([^?#]*)(\?[^#]+)?(?s:.*)$"
+    # one pass takes the address apart; a cleaned one holds no line break
+    parts = F.split(F.regexp_replace(clean(url), whole, "$1\n$2\n$3"), "\n")
+    place = F.regexp_replace(F.get(parts, 1), "/$", "")
+    return F.when(is_http(url), F.concat(F.lower(F.get(parts, 0)), F.when(place == "", "/").otherwise(place), F.get(parts, 2)))
 
 
 def request_path(url: Column) -> Column:

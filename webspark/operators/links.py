@@ -27,13 +27,14 @@ def keep_first(df: DataFrame, key: list[str], order: list[str], nulls: bool = Fa
     ``nulls``, rows with a null in their key are all kept.
 
     Order columns must tell the rows apart. The limit of one on the row number is pushed below the
-    shuffle, so each task sends one row a key. Keeping nulls reads the input twice.
+    shuffle, so each task sends one row a key. To keep rows with nulls, the null is taken for a key of
+    the row's own, made of its order columns.
     """
-    ranked = F.row_number().over(W.partitionBy(*key).orderBy(*order))
-    if not nulls:
-        return df.withColumn("ws_rank", ranked).where("ws_rank = 1").drop("ws_rank")
-    some = df.where(" and ".join(f"{k} is not null" for k in key)).withColumn("ws_rank", ranked).where("ws_rank = 1").drop("ws_rank")
-    return some.unionByName(df.where(" or ".join(f"{k} is null" for k in key)))
+    parts = key
+    if nulls:
+        own = F.concat_ws("\x01", F.lit("\x00"), *[F.col(c).cast("string") for c in order])
+        parts = [F.coalesce(F.col(k).cast("string"), own) for k in key]
+    return df.withColumn("ws_rank", F.row_number().over(W.partitionBy(*parts).orderBy(*order))).where("ws_rank = 1").drop("ws_rank")
 
 
 def exploded_links(pages: DataFrame, base: str = "url", links: str = "links") -> DataFrame:
